@@ -1,8 +1,55 @@
-"""Pipeline over documents, stage by stage."""
+"""A training corpus from documents, in five stages; each works on all that the stage before it kept.
 
-STAGES = []
+No stage's result can be stated in SQL as a whole (learned scores, fingerprints, drawn mixes), so ORACLE_SQL is None
+and the stages are tested against brute force and exact round trips.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.llm import mixing, pieces, simhash, substring, toxicity
+from corpusmill.llm.shared import keep, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.scored(docs, table(spark, sf_dir, "labels"), "_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component one document stays: that with the smallest doc_id. Of rows with that same doc_id one stays."""
+    found = simhash.near_duplicates(docs)
+    named = docs.where("doc_id IS NOT NULL").join(found.where("doc_id = component_id").groupBy("doc_id").count(), "doc_id")
+    once = named.where("count = 1").select(*docs.columns)
+    again = named.where("count > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go."""
+    return substring.deduplicated(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are taken to their target weights; a row for each time a document is taken."""
+    return mixing.mixed(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become SentencePiece ids."""
+    return pieces.encode(docs, pieces.default_model())
+
+
+STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("substring_dedup", substring_stage), ("source_mix", mix_stage), ("sentencepiece", encode_stage)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -15,7 +15,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, table
+from .shared import SPACE, WORD, let, table
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and rejections are measured.
@@ -34,20 +34,15 @@ RULES = {
 }
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL of body with name bound to value, which is evaluated once even where the optimizer copies the expression."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 #: Words covered by windows of three words that the text has twice: windows as (digest, place) by digest, then the places
 #: that share a digest; each covers three words, or as many as there are up to the next such place.
-_REPEATED = "CASE WHEN size(words) < 3 THEN 0L ELSE " + _let(
+_REPEATED = "CASE WHEN size(words) < 3 THEN 0L ELSE " + let(
     "words",
     "ws",
-    _let(
+    let(
         "sort_array(transform(sequence(0, size(ws) - 3), i -> struct(xxhash64(ws[i], ws[i + 1], ws[i + 2]) AS h, i AS p)))",
         "s",
-        _let(
+        let(
             "sort_array(transform(filter(s, (x, i) -> coalesce(x.h = get(s, i - 1).h, false) OR coalesce(x.h = get(s, i + 1).h, false)), x -> x.p))",
             "q",
             "aggregate(transform(q, (p, i) -> least(3, coalesce(get(q, i + 1) - p, 3))), 0L, (a, x) -> a + x)",

@@ -53,3 +53,8 @@ def forget(df: DataFrame) -> None:
     """Removes the files of a table written by keep(), once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(df.sparkSession, path)
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL of body with name bound to value, which is evaluated once even where the optimizer copies the expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
