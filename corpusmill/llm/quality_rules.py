@@ -25,7 +25,7 @@ SAMPLE_ROWS = 1000
 RULES = {
     "mean_word_length": "word_chars < 2 * n_words OR word_chars > 14 * n_words",
     "symbol_share": "n_symbols * 10 > n_words",
-    "repeated_lines": "n_dup_lines * 10 > n_lines * 3",
+    "repeated_lines": "n_dup_lines * 2 > n_lines",
     "few_letters": r"size(filter(words, w -> w rlike '\\p{L}')) * 10 < n_words * 7",
     "shouting": r"size(filter(words, w -> NOT w rlike '\\p{Ll}' AND w rlike '\\p{Lu}[^\\p{Lu}]*\\p{Lu}')) * 10 > n_words * 3",
     "exclamations": "(length(text) - length(replace(text, '!!', ''))) * 5 > n_words",
@@ -121,7 +121,7 @@ m AS (SELECT d.doc_id, d.text, words, lines, len(words) AS n_words, len(lines) A
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR n_symbols * 10 > n_words OR n_dup_lines * 10 > n_lines * 3
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR n_symbols * 10 > n_words OR n_dup_lines * 2 > n_lines
             OR len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) * 10 < n_words * 7
             OR len(list_filter(words, lambda w: NOT regexp_matches(w, '\p{Ll}') AND regexp_matches(w, '\p{Lu}[^\p{Lu}]*\p{Lu}'))) * 10 > n_words * 3
             OR (length(text) - length(replace(text, '!!', ''))) * 5 > n_words

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .shared import table
 
 #: Labelled rows of each class that features are induced from and the regression is fitted on, at most.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 4000
 #: Features that are induced at most, documents of the sample that must hold one, voters they are dealt to.
-INDUCED, INDUCED_DOCS, INDUCED_VOTERS = 1500, 5, 5
-#: Length of the stems of words that are longer.
-STEMS = (4, 5)
+INDUCED, INDUCED_DOCS, INDUCED_VOTERS = 1500, 4, 5
+#: Lengths of the stems of words that are longer; a stem in so many distinct words is a feature of its own.
+STEMS, SHARED = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.7
 
 LEXICON = {
@@ -57,30 +57,39 @@ def may_learn(doc_id: Column) -> Column:
 
 
 class Words:
-    """Distinct words of a text without the marks around them, and their features."""
+    """Distinct words of a text without the marks around them, and their features: each word, its stems, and stems that several words share."""
 
     def __init__(self, vocabulary: dict[str, int] | None = None):
         self.vocabulary, self.known = vocabulary or {}, {}
-
-    @staticmethod
-    def of(text: str) -> set[str]:
-        return {w.strip(_EDGE) for w in set(text.lower().split())}
+        self.bases: dict[str, list[tuple[int, int]]] = {}
+        for name, i in self.vocabulary.items():
+            base, _, least = name.partition("*")
+            self.bases.setdefault(base, []).append((int(least or 1), i))
 
     @staticmethod
     def names(word: str) -> list[str]:
         return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
+    @classmethod
+    def all_names(cls, text: str) -> set[str]:
+        """Every feature of a text: word, stem-, and stem-*n for n distinct words with the stem."""
+        counts = Counter(x for w in {w.strip(_EDGE) for w in set(text.lower().split())} if w for x in cls.names(w))
+        return {x if n == 1 else f"{x}*{n}" for x, c in counts.items() for n in SHARED if c >= n}
+
     def features(self, text: str) -> set[int]:
-        known, vocabulary, out = self.known, self.vocabulary, set()
+        """Numbers of the text's features that the vocabulary has."""
+        known, bases, hits = self.known, self.bases, set()
         for w in set(text.lower().split()):
             found = known.get(w)
             if found is None:
                 if len(known) > 200_000:
                     known.clear()
-                found = known[w] = tuple(vocabulary[x] for x in self.names(w.strip(_EDGE)) if x in vocabulary)
-            if found:
-                out.update(found)
-        return out
+                word = w.strip(_EDGE)
+                found = known[w] = (word, tuple(x for x in self.names(word) if x in bases)) if word else ("", ())
+            if found[1]:
+                hits.add(found)
+        counts = Counter(x for _, names in hits for x in names)
+        return {i for x, c in counts.items() for least, i in bases[x] if c >= least}
 
 
 def _names(batches):
@@ -90,7 +99,7 @@ def _names(batches):
             part = batch.slice(at, 128)
             names, toxic = [], []
             for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                own = {x for w in Words.of(text or "") if w for x in Words.names(w)}
+                own = Words.all_names(text or "")
                 names += own
                 toxic += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int32())], names=["name", "toxic"])
@@ -111,7 +120,7 @@ def induced(sample: DataFrame) -> list[str]:
         return []
     counts = sample.mapInArrow(_names, "name string, toxic int").groupBy("name").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     lift = F.log(((F.col("t") + 0.5) / (sizes[1] + 1)) / ((F.col("c") + 0.5) / (sizes[0] + 1)))
-    strong = counts.withColumn("lift", lift).where(F.col("t") >= INDUCED_DOCS).where("lift > 2.5")
+    strong = counts.withColumn("lift", lift).where(F.col("t") >= INDUCED_DOCS).where("lift > 3.2")
     return [r["name"] for r in strong.orderBy(F.desc("t"), "name").limit(INDUCED).collect()]
 
 
