@@ -8,8 +8,9 @@ with very many vectors is no single task; each block solves its queries exactly,
 
 Products are taken in doubles where all are exact (below 2^53), else in Python integers.
 
-Defined cases: vectors that are null or hold a null or a non-finite component take no part; vectors of other lengths
+Defined cases: vectors that are null or empty, or hold a null or a non-finite component, take no part; vectors of other lengths
 than the query's are no candidates; equal scores go to the smaller vec_id; a query never finds rows of its own vec_id;
+repeated rows are one query and several candidates;
 fewer candidates than k give fewer rows; null vec_ids take no part; an empty table gives an empty result.
 """
 
@@ -32,7 +33,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, v: the integers; only vectors whose components are all there and finite."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    return vectors.where((F.size("embedding") > 0) & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     summary = {(r["dim"], r["grp"]): (r["radius"], -(-r["n"] // size)) for r in facts}
     blocks = spark.createDataFrame([(*g, s[1]) for g, s in summary.items()], "dim long, grp long, blocks long")
     data = grouped.join(F.broadcast(blocks), ["dim", "grp"]).select("vec_id", "dim", "grp", F.pmod(F.xxhash64("vec_id", "raw"), "blocks").alias("block"), "raw")
-    asked = queries.where(F.size("v").isin(*map(int, pivots))).select("vec_id", F.size("v").cast("long").alias("dim"), "v").mapInArrow(_packed, "vec_id long, dim long, raw binary")
+    asked = queries.where(F.size("v").isin(*map(int, pivots))).select("vec_id", F.size("v").cast("long").alias("dim"), "v").dropDuplicates(["vec_id", "v"]).mapInArrow(_packed, "vec_id long, dim long, raw binary")
     routed = asked.mapInArrow(_router(pivots, pivot_ids, summary, k), "vec_id long, dim long, grp long, block long, raw binary")
     keys = ["dim", "grp", "block"]
     found = routed.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_solver(k), out)
