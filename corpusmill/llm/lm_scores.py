@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], Models]:
     known = vocabulary(docs)
     size = len(known) + 1
     place = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(known)})
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("good", F.lit(True))
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("good", F.lit(True)).hint("merge")  # labels grow with the corpus: never broadcast
     marked = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(good, F.col("_doc") == F.col("_id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = marked.mapInArrow(_pair_counts(place, size), "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).persist()
     try:
