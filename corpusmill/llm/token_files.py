@@ -32,14 +32,25 @@ END_ID = 2
 #: Bytes of text that a shard should hold, and ids after which a segment is cut.
 SHARD_BYTES, SEGMENT_IDS = 16 << 20, 1 << 20
 #: Encoded strings that a worker remembers.
-CACHE = 150_000
+CACHE = 800_000
 #: A space between two other characters that aren't white space always begins a new token: what stands on its two sides is encoded apart.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
+#: Letters with at most one space before them: whatever follows that is no letter begins a new token.
+_LETTERS = re.compile(r" ?[^\W\d_]+")
+#: The character that stands for each byte in the model's alphabet: itself where it can be printed, else one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTED))}
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library; strings between lone spaces are encoded once and remembered."""
+    """Whole texts to ids by the tokenizers library; strings between lone spaces are encoded apart, once, and remembered.
+
+    A string falls further apart at single line feeds and after its leading letters, where the library's pre-tokenizer
+    always cuts; strings of letters are single pre-tokens and go to the library's model directly.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,27 +58,55 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
 
     def parts(self, text: str) -> list[str]:
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
             return _LONE_SPACE.split(text)
         return text.split(" ")
 
+    def _pack(self, ids) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def ids(self, x: str) -> bytes:
+        """The ids of a string whose ends are ends of tokens."""
+        found = self.known.get(x)
+        if found is None:
+            lines, word = x.split("\n"), _LETTERS.match(x)
+            if len(lines) > 1 and all(y and not y[-1].isspace() and (i == 0 or not y[0].isspace()) for i, y in enumerate(lines)):
+                found = self.ids("\n").join(map(self.ids, lines))
+            elif word and word.group().lstrip(" ").isalpha() and word.end() < len(x) and not x[word.end()].isalpha():
+                found = self.ids(word.group()) + self.ids(x[word.end() :])
+            elif word and word.end() == len(x) and x.lstrip(" ").isalpha():
+                found = self._pack([t.id for t in self.model.tokenize("".join([_BYTE_CHARS[b] for b in x.encode()]))])
+            else:
+                found = self._pack(self.tokenizer.encode(x, add_special_tokens=False).ids)
+            self.known[x] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of dtype."""
-        known, dealt = self.known, []
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known, out = self.known, []
         for text in texts:
             first, *rest = self.parts(text)
-            dealt.append([first, *[" " + x for x in rest]])
-        new = list({x for parts in dealt for x in parts if x not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({x for parts in dealt for x in parts})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[x] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [b"".join([known[x] for x in parts]) for parts in dealt]
+            strings = [first, *[" " + x for x in rest]]
+            for x in strings:
+                if x not in known:
+                    self.ids(x)
+            out.append(b"".join([known[x] for x in strings]))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for a worker process, whatever the number of its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _mix(keys: np.ndarray, level: int) -> np.ndarray:
@@ -159,7 +198,7 @@ def _segment(shard, number, keys, blobs, width) -> pa.RecordBatch:
 
 def _packer(tokenizer: str, end_id: int):
     def pack(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         width, end = np.dtype(encoder.dtype).itemsize, np.array([end_id], dtype=encoder.dtype).tobytes()
         shard, number, keys, blobs, size = None, 0, [], [], 0
         for batch in batches:
