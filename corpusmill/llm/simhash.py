@@ -4,10 +4,12 @@ A fingerprint has 64 bits; two link if at most 4 differ. The bits are cut in thr
 by at most one bit in one block at least. Each block has its vantage-point tree. Its upper levels are built from a
 bounded sample of fingerprints and deal all of them out to shards: a fingerprint lives in one leaf, and as a query it
 also visits each leaf beyond a boundary that its ball of radius one crosses (triangle bound). In each shard the tree
-is continued in memory down to small blocks of pairs, which are compared exactly. A shard returns a spanning forest
-of its links, never more rows than it has fingerprints; connected components join the shards' forests.
+is continued in memory down to small blocks of pairs, which are compared exactly; a block that no vantage point parts
+is worked off in balls, so that near copies of one text are linked without being paired. A shard returns a spanning
+forest of its links, never more rows than it has fingerprints; connected components join the shards' forests.
 
-Documents with equal fingerprints are one class, so copies are never paired with each other.
+Documents with equal fingerprints are one class, so copies are never paired with each other. Classes with more than
+one in HOT_CLASSES of all rows, fewer than HOT_CLASSES by definition, are broadcast to name their rows; all others are joined.
 
 Defined cases: a null or empty text has fingerprint zero; texts of fewer words than a shingle hash their whole word
 sequence; repeated rows each get their row; rows with a null doc_id take part, and never name a component unless all
@@ -32,8 +34,10 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (shift, bits) of the blocks; linked fingerprints differ by at most RADIUS // 3 bits in one of them.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 BLOCK_RADIUS = RADIUS // len(BLOCKS)
-#: Fingerprints of the sample that the upper levels are built from; fingerprints that a shard should hold.
-SAMPLE_ROWS, SHARD_ROWS = 4096, 32768
+#: Fingerprints of the sample that the upper levels are built from, for each of their leaves, at least and about at most;
+#: fingerprints that a shard should hold.
+SAMPLE_LEAF, SAMPLE_ROWS, SAMPLE_MAX, SHARD_ROWS = 16, 4096, 1 << 20, 32768
+HOT_CLASSES = 2000
 #: Pairs that are compared at once.
 PAIRS = 1 << 20
 
@@ -146,11 +150,32 @@ def _links(fps, values, queries, data, forest, rng, depth=0):
         _links(fps, values, queries[dq - BLOCK_RADIUS <= cut[1]], data[dd <= cut[1]], forest, rng, depth + 1)
         _links(fps, values, queries[dq + BLOCK_RADIUS > cut[1]], data[dd > cut[1]], forest, rng, depth + 1)
         return
-    step = max(1, PAIRS // len(data))
-    for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(fps[q][:, None] ^ fps[data][None, :]) <= RADIUS)
-        forest.link(q[i], data[j])
+    if len(queries) * len(data) > PAIRS:
+        _balls(fps, queries, data, forest)
+    else:
+        i, j = np.nonzero(np.bitwise_count(fps[queries][:, None] ^ fps[data][None, :]) <= RADIUS)
+        forest.link(queries[i], data[j])
+
+
+def _balls(fps, queries, data, forest):
+    """Links as _links does, in balls around one point after another.
+
+    What is within RADIUS of the point links to it. Beyond that, only queries within twice RADIUS can link to the ball
+    (triangle bound), and only those that are not connected with it yet are compared with it.
+    """
+    while len(data):
+        point = data[:1]
+        q, d = _distance(fps[queries], fps[point[0]]), _distance(fps[data], fps[point[0]])
+        ball, near = data[d <= RADIUS], queries[q <= RADIUS]
+        forest.link(ball, np.broadcast_to(point, len(ball)))
+        forest.link(near, np.broadcast_to(point, len(near)))
+        ring = queries[(q > RADIUS) & (q <= 2 * RADIUS)]
+        step = max(1, PAIRS // len(ball))
+        while len(ring := ring[forest.root(ring) != forest.root(point)]):
+            part, ring = ring[:step], ring[step:]
+            i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[ball][None, :]) <= RADIUS)
+            forest.link(part[i], ball[j])
+        data = data[d > RADIUS]
 
 
 def _solve(key, group: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +193,8 @@ def hamming_forest(fps: DataFrame) -> DataFrame:
     """fps: fp, distinct. Returns a, b: links that connect whatever chains of links within RADIUS connect."""
     rows = fps.count()
     depth = max(2, int(np.ceil(np.log2(max(1, rows / SHARD_ROWS)))) + 1)
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()], dtype=np.int64).view(np.uint64)
+    every = max(1, rows // min(SAMPLE_MAX, max(SAMPLE_ROWS, SAMPLE_LEAF << depth)))
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)
     rng = np.random.default_rng(SEED)
     trees = [upper_tree((sample >> np.uint64(shift)) & np.uint64((1 << bits) - 1), depth, rng) for shift, bits in BLOCKS]
     return fps.mapInArrow(_dealer(trees), "shard long, fp long, home boolean").groupBy("shard").applyInPandas(_solve, "a long, b long")
@@ -177,13 +203,16 @@ def hamming_forest(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     marked = keep(fingerprints(docs), "simhash")
-    classes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-classes")
+    classes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "simhash-classes")
     parts = connected_components(hamming_forest(classes.select("fp"))).withColumnRenamed("node", "fp")
     joined = parts.join(classes, "fp")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = parts.join(least, "component").select("fp", "component_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return marked.join(named, "fp")
+    named = keep(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"), "n"), "simhash-named")
+    hot = F.col("n") * HOT_CLASSES > marked.count()
+    few = F.broadcast(named.where(hot).drop("n"))
+    rest = marked.join(few, "fp", "left_anti").join(named.where(~hot).drop("n"), "fp")
+    return marked.join(few, "fp").unionByName(rest)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
