@@ -146,6 +146,20 @@ def test_mix(spark, odd, empty):
     assert mixing.taken(mixing.plan(empty)).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mix_cuts_large_last_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FILL_DOCS", 20)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 5)
+    docs = spark.createDataFrame([(i, "w " * (1 + i * 7919 % 97), "en", f"s{i % 3}", 0) for i in range(2000)], DOCS)
+    got = mixing.taken(mixing.plan(docs)).collect()
+    assert len(got) == 2000 and all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in got)
+    for s in range(3):
+        own = [r for r in got if r["doc_id"] % 3 == s]
+        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) < 0.01 * own[0]["target"]
+    again = mixing.taken(mixing.plan(docs.repartition(7))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
 # 4
 def test_token_files(spark, odd, empty, tmp_path):
     import public_tokenizers
@@ -286,6 +300,27 @@ def test_hamming_join(spark):
     assert got == want
 
 
+def test_balls_link_as_brute_force_does(monkeypatch):
+    rng = np.random.default_rng(10)
+    seeds = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    flips = lambda n: sum(1 << int(i) for i in rng.choice(64, n, replace=False))
+    fps = np.unique(np.array([int(seeds[k % 6]) ^ flips(k % 7) for k in range(900)] + [int(x) for x in rng.integers(0, 2**64, 200, dtype=np.uint64)], dtype=np.uint64))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.RADIUS
+    want = np.arange(len(fps))
+    while not np.array_equal(want, new := np.where(near, want[None, :], len(fps)).min(1)):
+        want = new
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    forest = simhash.Forest(len(fps))
+    simhash._links(fps, np.zeros(len(fps), dtype=np.uint64), np.arange(len(fps)), np.arange(len(fps)), forest, rng)
+    assert forest.root(np.arange(len(fps))).tolist() == want.tolist()
+
+
+def test_hot_classes(spark):
+    docs = spark.createDataFrame([(i, f"text {max(0, i - 3000)} of some words", "en", "s", 0) for i in range(1, 3301)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == 3300 and {got[i] for i in range(1, 3001)} == {1}
+
+
 # 9
 def test_lm_scores(spark, odd, empty):
     rows = [(0, "a b a b", 1), (1, "a b c", 0), (2, "c c c a", None)]
