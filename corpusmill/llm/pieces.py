@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 MARK = "▁"
 #: Strings that a worker remembers.
@@ -145,6 +145,7 @@ def pieces(model: str) -> Pieces:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """The columns of docs without text, and ids (array of int)."""
+    small_batches(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name not in ("text", "ids")]
     names = [f.name for f in rest]
 
@@ -184,6 +185,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.bool_()])], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Java and RE2 pattern of the white space that parts words, and of a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to Python.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ARROW_BYTES: what a task and its Python worker hold doesn't grow with the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path nobody else uses; it goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import connected_components
-from .shared import keep, table
+from .shared import keep, small_batches, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (shift, bits) of the blocks; linked fingerprints differ by at most RADIUS // 3 bits in one of them.
@@ -63,6 +63,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
 

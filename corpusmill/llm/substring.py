@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
-from .shared import keep, let, table
+from .shared import keep, let, small_batches, table
 
 #: Words of a chunk at least, one cut in so many words, bytes that the gear hash sees, bytes of text handled at once.
 WORDS, CUT_EVERY, GEAR_BYTES, BATCH_BYTES = 16, 5, 16, 1 << 21
@@ -87,6 +87,7 @@ def _chunk_rows(batches):
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, begin, end (bytes of the UTF-8 text) of passages that doc_id loses, first_doc_id: the smallest document that has a chunk of it."""
+    small_batches(docs.sparkSession)
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = keep(d.mapInArrow(_chunk_rows, "digest long, size int, doc_id long, begin int"), "chunks")
     shared = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 #: Labelled rows of each class that features are induced from and the regression is fitted on, at most.
 SAMPLE_PER_CLASS = 4000
@@ -260,6 +260,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """docs and a score; the text is read once to learn and once to score."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels)
     stems, weights, intercept = model.voters.stems, model.weights, model.intercept
     sent = docs.sparkSession.sparkContext.broadcast((stems, weights, intercept))
