@@ -183,3 +183,9 @@ def markup_free(c: Column) -> Column:
 
 def drop_sentences(c: Column, pattern: str) -> Column:
     return F.array_join(F.filter(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda x: ~x.rlike(pattern)), " ")
+
+
+def json_lines(c: Column) -> Column:
+    """The lines that are JSON objects, without the commas between them."""
+    lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[ ,]+|[ ,]+$", ""))
+    return F.filter(lines, lambda x: x.startswith("{") & x.endswith("}") & F.try_parse_json(x).isNotNull())

@@ -152,12 +152,41 @@ def parsed_items(rows: DataFrame, text: str = "text") -> DataFrame:
     return out.where(good).drop("_n", "_b", "_l")
 
 
-def reward(answered: Column, gold: Column, formatted: Column) -> Column:
-    """1 for the right letter, and 0.05 for the asked format."""
-    return F.round((answered == gold).cast("double") + 0.05 * formatted.cast("double"), 2)
+def reward(answered: Column, gold: Column) -> Column:
+    """1 for the right letter, and 0.05 for any readable one ('' is none)."""
+    return F.round((answered == gold).cast("double") + 0.05 * (answered != "").cast("double"), 2)
 
 
 def verdict(text: Column, options: int = 5) -> Column:
     """The letter of the last "VERDICT: X" (NONE: none); empty if there is none."""
     found = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?i)VERDICT:[ \t]*\(?(NONE|[A-" + T.LETTERS[options - 1] + r"])\b"), F.lit(1)), F.lit(-1))
     return F.upper(F.coalesce(found, F.lit("")))
+
+
+def fitting_prefix(ranked: DataFrame, key: str, rank: str, cost: str, budget: int) -> DataFrame:
+    """Rows of each key in rank order up to the first that would pass the budget; that one ends it."""
+    total = F.sum(cost).over(W.partitionBy(key).orderBy(rank).rowsBetween(W.unboundedPreceding, 0))
+    return ranked.withColumn("_t", total).where(F.col("_t") <= budget).drop("_t")
+
+
+def distinct_prefixes(ranked: DataFrame, key: str, rank: str, text: str, chars: int = 120, k: int = 3) -> DataFrame:
+    """The first k rows of each key whose text begins differently, with place."""
+    own = W.partitionBy(key, F.substring(text, 1, chars)).orderBy(rank)
+    first = ranked.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return first.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(rank))).where(F.col("place") <= k)
+
+
+def progress(rows: DataFrame, order: str, step: int = 100) -> DataFrame:
+    """block, seen, right, accuracy after each step of a dense order from 1; blocks are summed before the running total."""
+    g = rows.groupBy(F.floor((F.col(order) - 1) / step).alias("block")).agg(F.count("*").alias("_n"), F.count_if("correct").alias("_c"))
+    w = W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)
+    out = g.select("block", F.sum("_n").over(w).alias("seen"), F.sum("_c").over(w).alias("right"))
+    return out.withColumn("accuracy", F.round(F.col("right") / F.col("seen"), 6))
+
+
+def difference_in_differences(rows: DataFrame, flag: str, before: str, after: str) -> DataFrame:
+    """inside, outside (gains with and without the flag), did; one row."""
+    rate = lambda c, f: F.avg(F.when(f, F.col(c).cast("double")))
+    on = F.col(flag)
+    g = rows.agg((rate(after, on) - rate(before, on)).alias("i"), (rate(after, ~on) - rate(before, ~on)).alias("o"))
+    return g.select(F.round("i", 6).alias("inside"), F.round("o", 6).alias("outside"), F.round(F.col("i") - F.col("o"), 6).alias("did"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, contamination, scoring, voting
-from .catalog import _EDGES, _ITERMS, _RUNS, _SAID, _VOTE, _W, _WIN, _docs, _items, p10_parse_answer, query
+from ..operators import analysis, contamination, dedup, scoring, voting
+from .catalog import _BM25, _EDGES, _ITERMS, _RUNS, _SAID, _VOTE, _W, _docs, _items, p10_parse_answer, p12_recover_answer, p23_token_f1, query, r01_bm25_top20
+from .catalog import ORACLES as _SQL
 from .derived import MCQ, ROLL, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
 
 _A3 = f"{_RUNS}, j AS (SELECT a.sample_id, a.subject, a.answer, a.choices, a.predicted AS pa, b.predicted AS pb, c.predicted AS pc, a.correct AS ca, b.correct AS cb, c.correct AS cc FROM base a JOIN armx b USING (sample_id) JOIN army c USING (sample_id))"
@@ -164,10 +165,10 @@ def g22_item_parse(s, d):
     return analysis.parsed_items(mcq(s, d).select("sample_id", text.alias("text"))).select("sample_id", F.array_join("options", "|").alias("options"), "gold")
 
 
-@query(f"WITH {_SAID} SELECT sample_id, round(CAST(way <> 4 AND predicted = answer AS INT)::DOUBLE + 0.05::DOUBLE * CAST(way < 3 AS INT), 2) AS reward FROM comp")
+@query(f"WITH {_SAID} SELECT sample_id, round(CAST(way <> 4 AND predicted = answer AS INT)::DOUBLE + 0.05::DOUBLE * CAST(way <> 4 AS INT), 2) AS reward FROM comp")
 def m10_reward(s, d):
     c = completions(s, d).select("sample_id", "answer").join(p10_parse_answer(s, d), "sample_id")
-    return c.select("sample_id", analysis.reward(F.col("lenient"), T.letter(F.col("answer")), F.col("official") != "").alias("reward"))
+    return c.select("sample_id", analysis.reward(F.col("lenient"), T.letter(F.col("answer"))).alias("reward"))
 
 
 @query(f"WITH {_SAID}, c AS (SELECT length(completion) AS n, CASE WHEN way = 4 THEN 'unparsed' WHEN predicted = answer THEN 'right' ELSE 'wrong' END AS outcome FROM comp) SELECT outcome, count(*) AS total, round(avg(n), 6) AS mean_length FROM c GROUP BY 1")
@@ -223,4 +224,123 @@ def c17_key_guard(s, d):
     return _docs(s, d).select("doc_id", T.norm_tokens(F.col("text")).alias("key")).join(contamination.small(own), "key", "left_anti").select("doc_id")
 
 
-del _WIN
+@query(f"WITH {_EDGES}, n AS (SELECT doc_id, array_to_string(w, ' ') AS t FROM dw), m AS (SELECT item_id, array_to_string(w, ' ') AS q FROM iw) SELECT doc_id, item_id FROM edges JOIN n USING (doc_id) JOIN m USING (item_id) WHERE length(q) > 40 AND contains(t, q)")
+def c08_verbatim(s, d):
+    """Pairs whose shingles meet, and of these the documents that hold the whole item."""
+    plain = lambda t: F.array_join(T.plain_words(F.col("text")), " ").alias(t)
+    pairs = contamination.scan(_docs(s, d), _items(s, d))
+    own = _items(s, d).select("item_id", plain("q")).where("length(q) > 40")
+    return pairs.join(contamination.small(own), "item_id").join(_docs(s, d).select("doc_id", plain("t")), "doc_id").where("contains(t, q)").select("doc_id", "item_id")
+
+
+@query(f"WITH t AS (SELECT doc_id, list_filter({_W.format('text')}, lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 50)) AS place FROM t) SELECT doc_id, place, array_to_string(w[place + 1:place + 50], ' ') AS text FROM c WHERE len(w[place + 1:place + 50]) >= 10")
+def k06_fixed_chunks(s, d):
+    w = _docs(s, d).select("doc_id", T.plain_words(F.col("text")).alias("w")).where("size(w) > 0")
+    c = w.select("doc_id", F.explode(F.expr("transform(sequence(0, size(w) - 1, 50), i -> struct(CAST(i AS BIGINT) AS place, slice(w, i + 1, 50) AS part))")).alias("c"))
+    return c.where("size(c.part) >= 10").select("doc_id", "c.place", F.array_join("c.part", " ").alias("text"))
+
+
+_RANKED = f"{_BM25}, rk AS (SELECT item_id, doc_id, rank, n_chars, text FROM bm JOIN documents USING (doc_id))"
+
+
+def _ranked(s, d):
+    return r01_bm25_top20(s, d).select("item_id", "doc_id", "rank").join(_docs(s, d).select("doc_id", "n_chars", "text"), "doc_id")
+
+
+@query(f"WITH {_RANKED} SELECT item_id, doc_id, rank FROM rk QUALIFY sum(n_chars) OVER (PARTITION BY item_id ORDER BY rank ROWS UNBOUNDED PRECEDING) <= 20000")
+def k10_context_trim(s, d):
+    return analysis.fitting_prefix(_ranked(s, d).drop("text"), "item_id", "rank", "n_chars", 20000).select("item_id", "doc_id", "rank")
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY item_id, substr(text, 1, 120) ORDER BY rank) = 1) SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rank) AS INTEGER) AS place FROM f QUALIFY place <= 3")
+def w05_distinct_prefixes(s, d):
+    return analysis.distinct_prefixes(_ranked(s, d), "item_id", "rank", "text").select("item_id", "doc_id", "place")
+
+
+@query(f"WITH {MCQ}, {ROLL}, f AS (SELECT sample_id, min(k) + 1 AS rank FROM roll WHERE predicted = answer GROUP BY 1), t AS (SELECT CAST(unnest([1, 2, 4, 8]) AS INTEGER) AS depth) SELECT depth, count(*) FILTER (rank <= depth) AS reached FROM f, t GROUP BY 1")
+def w07_depth_curve(s, d):
+    first = rollouts(s, d).where("predicted = answer").groupBy("sample_id").agg((F.min("k") + 1).alias("rank"))
+    return contamination.pooled_depth(first, [1, 2, 4, 8])
+
+
+@query(f"WITH {_RUNS}, b AS (SELECT CAST(floor((CAST(substr(sample_id, 3) AS BIGINT) - 1) / 100) AS BIGINT) AS block, count(*) AS n, count(*) FILTER (correct) AS c FROM base GROUP BY 1), r AS (SELECT block, CAST(sum(n) OVER w AS BIGINT) AS seen, CAST(sum(c) OVER w AS BIGINT) AS \"right\" FROM b WINDOW w AS (ORDER BY block)) SELECT *, round(\"right\" / seen, 6) AS accuracy FROM r")
+def i02_progress(s, d):
+    return analysis.progress(run(s, d, "base").withColumn("place", F.substring("sample_id", 3, 20).cast("long")), "place")
+
+
+@query(f"WITH {_A3}, f AS (SELECT *, {sql_h("'ctx'", 'sample_id')} < 0.6 AS f FROM j), g AS (SELECT avg(CAST(cb AS INT)) FILTER (f) - avg(CAST(ca AS INT)) FILTER (f) AS i, avg(CAST(cb AS INT)) FILTER (NOT f) - avg(CAST(ca AS INT)) FILTER (NOT f) AS o FROM f) SELECT round(i, 6) AS inside, round(o, 6) AS outside, round(i - o, 6) AS did FROM g")
+def x16_difference_in_differences(s, d):
+    r = _three(s, d, "correct").withColumn("f", T.h01("ctx", F.col("sample_id")) < 0.6)
+    return analysis.difference_in_differences(r, "f", "base_correct", "armx_correct")
+
+
+@query(f"WITH r AS ({_SQL['p23_token_f1']}) SELECT count(*) AS pairs, count(*) FILTER (f1 = 1) AS exact, round(avg(f1), 6) AS mean_f1, count(*) FILTER (f1 >= 0.1) AS near FROM r")
+def x15_reconstruction(s, d):
+    return p23_token_f1(s, d).agg(F.count("*").alias("pairs"), F.count_if(F.col("f1") == 1).alias("exact"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.count_if(F.col("f1") >= 0.1).alias("near"))
+
+
+@query(f"WITH p AS ({_SQL['p10_parse_answer']}), r AS ({_SQL['p12_recover_answer']}), {MCQ} SELECT count(*) FILTER (official <> '') AS strict_read, count(*) FILTER (official <> '' AND recovered = official) AS agreed, count(*) FILTER (official = '' AND recovered <> '') AS recovered_rows, count(*) FILTER (official = '' AND recovered = chr(65 + answer)) AS recovered_right FROM p JOIN r USING (sample_id) JOIN mcq USING (sample_id)")
+def x30_reextraction(s, d):
+    j = p10_parse_answer(s, d).join(p12_recover_answer(s, d), "sample_id").join(mcq(s, d).select("sample_id", "answer"), "sample_id")
+    read_, again = F.col("official") != "", F.col("recovered")
+    return j.agg(F.count_if(read_).alias("strict_read"), F.count_if(read_ & (again == F.col("official"))).alias("agreed"), F.count_if(~read_ & (again != "")).alias("recovered_rows"), F.count_if(~read_ & (again == T.letter(F.col("answer")))).alias("recovered_right"))
+
+
+@query(f"WITH {_RUNS}, u AS (SELECT 'base' AS arm, subject, correct FROM base UNION ALL SELECT 'armx', subject, correct FROM armx UNION ALL SELECT 'army', subject, correct FROM army), o AS (SELECT arm, count(*) FILTER (correct) / count(*) AS p FROM u GROUP BY 1) SELECT arm, round(100 * p, 2) AS overall, round(100 * p - 100 * (SELECT p FROM o WHERE arm = 'base'), 2) AS delta FROM o")
+def x14_leakage(s, d):
+    r = _three(s, d, "correct").select(F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{a}_correct").alias("c"), F.col("base_correct").alias("b")) for a in ("base", "armx", "army")])).alias("x")).select("x.*")
+    rate = lambda c: 100 * (F.count_if(c) / F.count("*"))
+    return r.groupBy("arm").agg(F.round(rate("c"), 2).alias("overall"), F.round(rate("c") - rate("b"), 2).alias("delta"))
+
+
+@query(f"WITH {_A3} SELECT sample_id, chr(65 + pa) AS letter FROM j WHERE pa = pb AND pb = pc")
+def g20_agreement(s, d):
+    return _three(s, d, "predicted").where("base_predicted = armx_predicted AND armx_predicted = army_predicted").select("sample_id", T.letter(F.col("base_predicted")).alias("letter"))
+
+
+@query(f"WITH {MCQ}, r AS (SELECT sample_id, sample_id || ':' || CAST(unnest(range(4)) AS VARCHAR) AS view_id FROM mcq) SELECT sample_id, view_id FROM r QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY sha256('rot|' || view_id), view_id) <= 2")
+def o12_two_rotations(s, d):
+    r = mcq(s, d).select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("sample_id", F.concat("sample_id", F.lit(":"), F.col("k").cast("string")).alias("view_id"))
+    return dedup.top_by_hash(r, "sample_id", "view_id", "rot", 2)
+
+
+@query(f"WITH {_RUNS}, n AS (SELECT count(*) AS n FROM base) SELECT chr(CAST(65 + i AS INTEGER)) AS letter, round(count(*) FILTER (predicted = i) / any_value(n), 6) AS said, round(count(*) FILTER (answer = i) / any_value(n), 6) AS gold FROM base, n, (SELECT unnest(range(4)) AS i) GROUP BY i")
+def a24_letter_share(s, d):
+    r = run(s, d, "base").agg(F.count("*").alias("n"), *[F.count_if(F.col(c) == i).alias(f"{c}{i}") for c in ("predicted", "answer") for i in range(4)])
+    letters = F.array(*[F.struct(F.lit(T.LETTERS[i]).alias("letter"), F.round(F.col(f"predicted{i}") / F.col("n"), 6).alias("said"), F.round(F.col(f"answer{i}") / F.col("n"), 6).alias("gold")) for i in range(4)])
+    return r.select(F.explode(letters).alias("x")).select("x.*")
+
+
+@query(f"WITH t AS (SELECT role, len(list_filter({_W.format('text')}, lambda x: x <> '')) AS n FROM conversations), g AS (SELECT role, count(*) AS rows_n, CAST(sum(n) AS BIGINT) AS words FROM t GROUP BY 1) SELECT *, round(words / sum(words) OVER (), 6) AS share FROM g")
+def a20_role_words(s, d):
+    from pyspark.sql import Window as W
+
+    g = read(s, d, "conversations").groupBy("role").agg(F.count("*").alias("rows_n"), F.sum(F.size(T.plain_words(F.col("text")))).alias("words"))
+    return g.withColumn("share", F.round(F.col("words") / F.sum("words").over(W.partitionBy()), 6))
+
+
+@query("SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types, count(DISTINCT CAST(user_id AS VARCHAR) || event_type) AS pairs FROM events")
+def a06_distinct_counts(s, d):
+    e = read(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return e.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("event_type").alias("types"), F.count("*").alias("pairs"))
+
+
+@query("SELECT event_id, 2 AS objects FROM events WHERE json_valid(props)")
+def p29_json_lines(s, d):
+    e = read(s, d, "events").select("event_id", F.concat(F.lit("Here it is:\n"), "props", F.lit(',\n{"x": 1},\n{bad}\n{"cut": ')).alias("t"))
+    return e.select("event_id", F.size(T.json_lines(F.col("t"))).alias("objects"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: NOT regexp_matches(x, '[#$%&*]')), ' ') AS text FROM documents")
+def p28_scrub(s, d):
+    return _docs(s, d).select("doc_id", T.drop_sentences(F.col("text"), "[#$%&*]").alias("text"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+def u02_intersection(s, d):
+    return _docs(s, d).where("lang = 'en'").select("doc_id").intersect(read(s, d, "labels").where("quality = 1").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels")
+def u03_difference(s, d):
+    return _docs(s, d).where("lang = 'en'").select("doc_id").join(read(s, d, "labels").select("doc_id"), "doc_id", "left_anti").distinct()

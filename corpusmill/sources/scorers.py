@@ -35,14 +35,3 @@ def constant(questions: DataFrame, letter: str) -> DataFrame:
 
 def heuristic(questions: DataFrame) -> DataFrame:
     return questions.withColumn("completion", F.concat(F.lit("ANSWER: "), T.letter(T.heuristic_index("choices"))))
-
-
-def reward(completion: str, answer: str, n: str):
-    """1.0 for the right letter, 0.05 for a readable one, else 0."""
-    said = T.parse_letter(F.col(completion), F.col(n), bare=False)
-    return F.when(said == T.letter(F.col(answer)), 1.0).when(said != "", 0.05).otherwise(0.0)
-
-
-def verdict(completion: str):
-    """Letter or NONE of a judge's VERDICT line, '' if there is none."""
-    return F.upper(F.coalesce(F.try_element_at(F.regexp_extract_all(F.col(completion), F.lit(r"(?i)VERDICT[ \t]*:[ \t]*([A-E]\b|NONE)"), F.lit(1)), F.lit(-1)), F.lit("")))
