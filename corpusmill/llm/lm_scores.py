@@ -5,166 +5,163 @@ documents. Both share one vocabulary and one set of bigrams, and are smoothed al
 (count + MU * unigram) / (history's count + MU), a unigram's has one added to its count. A document's score is the mean
 over its words of target loss minus background loss; lower means more like the target.
 
-The vocabulary has the words with at least VOCABULARY_SHARE of all words, everything else is one unknown word; the
-bigrams are those with at least BIGRAM_SHARE of all bigrams. So there are at most 1 / share of each, at any size of the
-input, which bounds what is sent to the driver and to each task; the counts behind them cover all documents.
+Nothing is cut: the models have every word and every bigram of the corpus, and one unknown word besides. They are never
+in one place. Documents are dealt out to blocks, labels with them; a block counts its words and bigrams and sends the
+sorted keys with their counts to shards of the key space. A shard adds up the counts of all blocks, and answers each
+block with the sums alone, in the order of the keys that the block sent. The block counts again, meets the same keys in
+the same order and scores its documents with the sums. So a bigram costs some bytes for each block that has it, however
+common it is; the driver sees the number of words and the models' totals only.
+
+A key is 63 bits of a hash of the word or of the two words, and a bit that tells words from bigrams; two words or
+bigrams with one key would be counted as one.
 
 Defined cases: a null or empty text has no words and null losses; without labelled documents the target model is its
-smoothing alone; repeated label rows count as good if one is; an empty table gives an empty result.
+smoothing alone; repeated label rows count as good if one is; an empty table gives an empty result; rows without a
+doc_id are scored, and have no label.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .shared import table
+from .shared import keep, small_batches, table
 
-VOCABULARY_SHARE, BIGRAM_SHARE, MU = 1e-4, 2e-6, 200.0
-#: Entries of a task's counts after which they are handed on.
-FLUSH = 400_000
+MU = 200.0
+#: Characters of a block and of the text behind a shard, about; and how many of each there are at least.
+BLOCK_CHARS, SHARD_CHARS, BLOCKS, SHARDS = 8 << 20, 24 << 20, 256, 128
+#: Words whose hashes a worker remembers.
+REMEMBERED = 400_000
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _word_counts(batches):
-    def out(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words(text))
-            if len(counts) > FLUSH:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
 
+_hashes = _Hashes()
 
-def vocabulary(docs: DataFrame, share: float = VOCABULARY_SHARE) -> list[str]:
-    """Words with at least that share of all words, in order of code points."""
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        return sorted(r["word"] for r in counts.where(F.col("n") >= share * total).select("word").collect())
-    finally:
-        counts.unpersist()
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _ids(texts, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts (0: unknown), and where each text begins, and the end."""
-    get, out, at = place.get, [], [0]
-    for text in texts:
-        out += [get(w, 0) for w in words(text)]
-        at.append(len(out))
-    return np.array(out, dtype=np.int64), np.array(at)
 
-
-def _bigrams(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bigrams, and the places of their second words."""
-    second = np.ones(len(ids), dtype=bool)
-    second[at[:-1][at[:-1] < len(ids)]] = False
+def _keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all words, of all bigrams, the places of the bigrams' second words, and where each text begins, and the end."""
+    parts, at = [], [0]
+    for text in texts:
+        found = words(text)
+        parts.append(np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found)))
+        at.append(at[-1] + len(found))
+    hashes, at = np.concatenate([np.empty(0, np.uint64), *parts]), np.array(at)
+    second = np.ones(len(hashes), dtype=bool)
+    second[at[:-1][at[:-1] < len(hashes)]] = False
     second = np.flatnonzero(second)
-    return ids[second - 1] * size + ids[second], second
-
-
-def _pair_counts(sent, size):
-    def run(batches):
-        place = sent.value
-        held: list = []
-
-        def out():
-            keys = np.concatenate([k for k, _, _ in held])
-            unique, at = np.unique(keys, return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([h[i] for h in held]), minlength=len(unique)).astype(np.int64) for i in (1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(sums[0]), pa.array(sums[1])], names=["key", "t", "b"])
-
-        n = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids, at = _ids(part.column("text").to_pylist(), place)
-                good = np.repeat(np.array(part.column("good").to_pylist(), dtype=bool), np.diff(at))
-                pairs, second = _bigrams(ids, at, size)
-                # Unigrams are counted under keys below zero.
-                keys, marks = np.concatenate([pairs, -1 - ids]), np.concatenate([good[second], good])
-                unique, where = np.unique(keys, return_inverse=True)
-                held.append((unique, np.bincount(where, marks, minlength=len(unique)), np.bincount(where, minlength=len(unique))))
-                n += len(unique)
-                if n > 4 * FLUSH:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
-
-    return run
-
-
-class Models:
-    """The two models over one vocabulary; uni and pair are (target, background) counts."""
-
-    def __init__(self, size: int, uni: np.ndarray, keys: np.ndarray, pair: np.ndarray):
-        self.size, self.keys = size, keys
-        total = uni.sum(1, keepdims=True)
-        self.uni = (uni + 1) / (total + size)
-        self.history, self.pair = uni, pair
-
-    def losses(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Sums of -log p of each text, a row for each model."""
-        pairs, second = _bigrams(ids, at, self.size)
-        loss = -np.log(self.uni[:, ids])
-        if len(second):
-            place = np.minimum(np.searchsorted(self.keys, pairs), max(len(self.keys) - 1, 0))
-            found = self.keys[place] == pairs if len(self.keys) else np.zeros(len(pairs), dtype=bool)
-            counts = np.where(found, self.pair[:, place], 0) if len(self.keys) else np.zeros((2, len(pairs)))
-            loss[:, second] = -np.log((counts + MU * self.uni[:, ids[second]]) / (self.history[:, ids[second - 1]] + MU))
-        sums = np.concatenate([np.zeros((2, 1)), np.cumsum(loss, axis=1)], axis=1)
-        return sums[:, at[1:]] - sums[:, at[:-1]]
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], Models]:
-    spark = docs.sparkSession
-    known = vocabulary(docs)
-    size = len(known) + 1
-    place = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(known)})
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("good", F.lit(True)).hint("merge")  # labels grow with the corpus: never broadcast
-    marked = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(good, F.col("_doc") == F.col("_id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = marked.mapInArrow(_pair_counts(place, size), "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).persist()
-    try:
-        total = counts.where("key >= 0").agg(F.sum("b")).first()[0] or 0
-        kept = counts.where((F.col("key") < 0) | (F.col("b") >= BIGRAM_SHARE * total)).toArrow()
-    finally:
-        counts.unpersist()
-    key, both = kept.column("key").to_numpy(), np.stack([kept.column(c).to_numpy() for c in ("t", "b")]).astype(float)
-    uni = np.zeros((2, size))
-    uni[:, -1 - key[key < 0]] = both[:, key < 0]
-    order = np.argsort(key[key >= 0])
-    return known, Models(size, uni, key[key >= 0][order], both[:, key >= 0][:, order])
+    pairs = _mix(_mix(hashes[second - 1]) + hashes[second] * np.uint64(0x9E3779B97F4A7C15))
+    return hashes | np.uint64(1), pairs & ~np.uint64(1), second, at
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers by bytes of equal weight, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+CHUNK = "shard long, block long, n long, keys binary, t binary, b binary"
+SUMS = "block long, shard long, n long, t binary, b binary, words long, target long, background long"
+
+
+def _arrow(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in ddl.split(", ")))
+    return pa.table([pa.array(list(c), kinds[t]) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=list(names))
+
+
+def _counter(shards: int):
+    def count(key, docs, good):
+        """The block's keys and counts, a row for each shard."""
+        uni, pairs, second, at = _keys(docs.column("text").to_pylist())
+        marks = np.isin(docs.column("doc_id").fill_null(0).to_numpy(), good.column("doc_id").to_numpy()) & docs.column("doc_id").is_valid().to_numpy()
+        marks = np.repeat(marks, np.diff(at))
+        unique, where = np.unique(np.concatenate([uni, pairs]), return_inverse=True)
+        t = np.bincount(where, np.concatenate([marks, marks[second]]), minlength=len(unique)).astype(np.uint64)
+        b = np.bincount(where, minlength=len(unique))
+        shard = (unique >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        ends, rows = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64)), []
+        for s in np.flatnonzero(np.diff(ends)):
+            i, j = ends[s], ends[s + 1]
+            rows.append((int(s), key[0].as_py(), int(j - i), _pack(np.diff(unique[i:j], prepend=np.uint64(0))), _pack(t[i:j]), _pack(b[i:j])))
+        return _arrow(rows, CHUNK)
+
+    return count
+
+
+def _sum(key, chunks):
+    """Counts of all blocks, for each block's keys; the shard's words and the models' totals of them are in one row."""
+    rows = chunks.select(["block", "n", "keys", "t", "b"]).to_pylist()
+    unique, where = np.unique(np.concatenate([np.cumsum(_unpack(r["keys"], r["n"]), dtype=np.uint64) for r in rows]), return_inverse=True)
+    t, b = (np.bincount(where, np.concatenate([_unpack(r[c], r["n"]) for r in rows]), minlength=len(unique)).astype(np.uint64) for c in "tb")
+    word = (unique & np.uint64(1)).astype(bool)
+    totals, out, at = (int(word.sum()), int(t[word].sum()), int(b[word].sum())), [], 0
+    for r in rows:
+        own = where[at : at + r["n"]]
+        at += r["n"]
+        out.append((r["block"], key[0].as_py(), r["n"], _pack(t[own]), _pack(b[own]), *totals))
+        totals = (0, 0, 0)
+    return _arrow(out, SUMS)
+
+
+def _scorer(size: int, totals: tuple[int, int]):
+    def score(key, docs, sums):
+        uni, pairs, second, at = _keys(docs.column("text").to_pylist())
+        where = np.unique(np.concatenate([uni, pairs]), return_inverse=True)[1]
+        rows = sorted(sums.select(["shard", "n", "t", "b"]).to_pylist(), key=lambda r: r["shard"])
+        losses = []
+        for c, total in zip("tb", totals):
+            counts = np.concatenate([np.empty(0), *(_unpack(r[c], r["n"]) for r in rows)])[where]
+            own, pair = counts[: len(uni)], counts[len(uni) :]
+            p = (own + 1) / (total + size)
+            loss = -np.log(p)
+            loss[second] = -np.log((pair + MU * p[second]) / (own[second - 1] + MU))
+            ends = np.concatenate([[0], np.cumsum(loss)])[at]
+            losses.append(np.diff(ends))
+        n, (t, b) = np.diff(at), losses
+        none, per = n == 0, np.maximum(n, 1)
+        return pa.table([docs.column("doc_id"), pa.array(n), *(pa.array(x / per, mask=none) for x in (t, b, t - b))], names=["doc_id", "n_words", "target_loss", "background_loss", "difference"])
+
+    return score
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means over words) and difference."""
-    known, models = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast((known, models.size, models.history, models.keys, models.pair))
-
-    def run(batches):
-        known, *parts = sent.value
-        place, own = {w: i + 1 for i, w in enumerate(known)}, Models(*parts)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids, at = _ids(part.column("text").to_pylist(), place)
-                n, (t, b) = np.diff(at), own.losses(ids, at)
-                none, per = n == 0, np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x / per, mask=none) for x in (t, b, t - b))], names=["doc_id", "n_words", "target_loss", "background_loss", "difference"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks, shards = max(BLOCKS, chars // BLOCK_CHARS), max(SHARDS, chars // SHARD_CHARS)
+    # Rows without a doc_id have no label to meet and are dealt out by their text.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))).groupBy("block")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = good.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).groupBy("block")
+    sums = keep(dealt.cogroup(good).applyInArrow(_counter(shards), CHUNK).groupBy("shard").applyInArrow(_sum, SUMS), "lm-sums")
+    n, *totals = (x or 0 for x in sums.agg(F.sum("words"), F.sum("target"), F.sum("background")).first())
+    answers = sums.select("block", "shard", "n", "t", "b").groupBy("block")
+    return dealt.cogroup(answers).applyInArrow(_scorer(n + 1, tuple(totals)), "doc_id long, n_words long, target_loss double, background_loss double, difference double")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

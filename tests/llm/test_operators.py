@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and odd tables."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -351,6 +352,25 @@ def test_lm_scores(spark, odd, empty):
     assert lm_scores.scores(empty, labels(spark)).count() == 0
 
 
+def test_lm_scores_keep_every_word_and_bigram(spark):
+    rng = np.random.default_rng(12)
+    texts = {i: [f"w{k}" for k in rng.integers(0, 30000, 100)] for i in range(300)}
+    texts[300] = texts[7] + ["once"]
+    texts[None] = texts[9][:50]
+    good = {i for i in range(300) if i % 3 == 0}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scores.scores(docs, labels(spark, [(i, 1, 0) for i in good])).collect()}
+    size = len({w for x in texts.values() for w in x}) + 1
+    assert size > 15000 and len(got) == len(texts)
+    for column, own in (("target_loss", [x for i, x in texts.items() if i in good]), ("background_loss", list(texts.values()))):
+        uni, pair = Counter(w for x in own for w in x), Counter(p for x in own for p in zip(x, x[1:]))
+        total = sum(uni.values())
+        p1 = lambda w: (uni[w] + 1) / (total + size)
+        for i, x in texts.items():
+            want = -np.log([p1(x[0])] + [(pair[a, b] + lm_scores.MU * p1(b)) / (uni[a] + lm_scores.MU) for a, b in zip(x, x[1:])]).mean()
+            assert got[i]["n_words"] == len(x) and got[i][column] == pytest.approx(want)
+
+
 # 10
 def test_quality(spark, odd, empty):
     import re
