@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing, pieces, simhash, substring, toxicity
+from corpusmill.llm import jaccard, mixing, pieces, substring, toxicity
 from corpusmill.llm.shared import keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,12 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one document stays: that with the smallest doc_id. Of rows with that same doc_id one stays."""
-    found = simhash.near_duplicates(docs)
-    named = docs.where("doc_id IS NOT NULL").join(found.where("doc_id = component_id").groupBy("doc_id").count(), "doc_id")
-    once = named.where("count = 1").select(*docs.columns)
-    again = named.where("count > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    """Of each component of texts whose five-word shingles are alike to 0.8 one row stays: that with the smallest doc_id, nulls last."""
+    return jaccard.first_of_near_copies(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

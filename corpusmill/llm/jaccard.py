@@ -1,0 +1,103 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, each checked exactly.
+
+Texts with one set of shingles are one class. Classes that agree in a band of their MinHash signature share a bucket;
+at similarity 0.8 two miss each other in all of BANDS bands of ROWS values with a chance of 0.02 %. First each class
+is compared with the least class of each of its buckets, which links most near copies without pairing them. Then, in
+buckets that still hold classes of several components, each class outside of the bucket's largest component is
+compared with all that aren't in its own component. So every pair of a bucket is either compared or already connected.
+
+Defined cases: words, null, empty and short texts as in simhash.fingerprint; rows without a doc_id take part, and
+come after all others when a component's row is chosen.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .components import connected_components
+from .shared import keep, small_batches
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+BANDS, ROWS = 16, 4
+_RNG = np.random.default_rng(SEED)
+_A, _B = _RNG.integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_A |= np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles, distinct and sorted."""
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.fromiter(map(partial(xxh64_intdigest, seed=SEED), grams), dtype=np.uint64))
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    least = np.min([(hashes[i : i + 4096] * _A + _B).min(axis=1) for i in range(0, len(hashes), 4096)], axis=0)
+    return [xxh64_intdigest(part.tobytes()) for part in least.reshape(BANDS, ROWS)]
+
+
+def _signed(numbers) -> np.ndarray:
+    return np.array(numbers, dtype=np.uint64).view(np.int64)
+
+
+def _sets(shingle):
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
+            bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(_signed([b for s in sets for b in _bands(s)])))
+            same = pa.array(_signed([xxh64_intdigest(s.tobytes(), SEED) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), same, pa.array([len(s) for s in sets], pa.int64()), bands], names=["row", "doc_id", "class", "size", "bands"])
+
+    return run
+
+
+def _alike(shingle, similarity):
+    def run(batches):
+        for batch in batches:
+            sets = ([shingles(t, shingle) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
+            both = [(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))) for a, b in zip(*sets)]
+            yield batch.select(["a", "b"]).filter(pa.array([n >= similarity * (x + y - n) for x, y, n in both], pa.bool_()))
+
+    return run
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are alike."""
+    side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}"))
+    return keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike(shingle, similarity), "a long, b long"), "near-links")
+
+
+def first_of_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without all but one row of each component: that of the smallest doc_id, nulls last, and then the first row."""
+    small_batches(docs.sparkSession)
+    docs = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    read = docs.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = keep(read.mapInArrow(_sets(shingle), "row long, doc_id long, class long, size long, bands array<long>"), "near-sets")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = keep(rows.groupBy("class").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-classes")
+    spread = classes.select("class", "size", F.posexplode("bands").alias("band", "hash"))
+    heads = spread.groupBy("band", "hash").agg(F.min(F.struct("class", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    members = keep(spread.join(heads, ["band", "hash"]), "near-members")
+    near = F.least("size", "other") >= similarity * F.greatest("size", "other")
+    star = members.select("size", F.col("head.size").alias("other"), F.col("class").alias("a"), F.col("head.class").alias("b")).where(near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    found = members.select("class").distinct().join(classes.select("class", F.col("first.row").alias("row")), "class")
+    texts = keep(found.join(read.select("row", "text"), "row").select("class", "text"), "near-texts")
+    links = _linked(star, texts, shingle, similarity)
+    parts = connected_components(links).select(F.col("node").alias("class"), "component")
+    now = members.select("band", "hash", "class", "size").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    counted = now.groupBy("band", "hash", "component").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("band", "hash").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", "hash", F.col("top.component").alias("top"))
+    now = keep(now.join(largest, ["band", "hash"]), "near-open")
+    minor = now.where("component <> top").select("band", "hash", F.col("class").alias("x"), F.col("size").alias("other"), F.col("component").alias("own"))
+    pairs = now.join(minor, ["band", "hash"]).where((F.col("component") != F.col("own")) & near)
+    rest = pairs.select(F.greatest("class", "x").alias("a"), F.least("class", "x").alias("b")).distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    parts = connected_components(links.unionByName(_linked(rest, texts, shingle, similarity))).select(F.col("node").alias("class"), "component")
+    named = classes.select("class", "first").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return docs.join(kept, "_row", "left_semi").drop("_row")

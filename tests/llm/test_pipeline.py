@@ -36,6 +36,28 @@ def test_stages(spark, sf_dir):
     assert "ids" in corpus_pipeline.encode_stage(spark, mixed, sf_dir).columns
 
 
+def test_near_dedup_meets_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(120):
+        base = [f"w{i}" for i in rng.integers(0, 50000, 200)]
+        rows.append((2 * k, " ".join(base), "en", "s", 0))
+        for n in range(k % 4):  # up to three copies of each with some words changed
+            at = rng.choice(200, rng.integers(1, 9), replace=False)
+            rows.append((2 * k + 1000 + 500 * n, " ".join("new" + str(n) if i in at else w for i, w in enumerate(base)), "en", "s", 0))
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(196)} for _, x, *_ in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = {min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in set(label)}
+    assert 120 < len(want) < len(rows)
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+
+
 def test_empty(spark, sf_dir):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
