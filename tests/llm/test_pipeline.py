@@ -58,6 +58,13 @@ def test_near_dedup_meets_brute_force(spark, sf_dir):
     assert sorted(r["doc_id"] for r in got) == sorted(want)
 
 
+def test_near_dedup_rows_without_or_with_one_doc_id(spark, sf_dir):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (7, text("b")), (1, text("c")), (5, text("c")), (5, text("d")), (6, text("e")), (6, text("f"))]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS), sf_dir).collect()
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in got) == [("1", "c"), ("5", "d"), ("6", "e"), ("6", "f"), ("7", "b"), ("None", "a")]
+
+
 def test_empty(spark, sf_dir):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
