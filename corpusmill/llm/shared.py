@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Java and RE2 pattern of the white space that parts words, and of a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -59,6 +63,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name: the row's number from 0 in the order. Rows are sorted in ranges, and only the ranges' sizes meet."""
+    cut = keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted(tuple(r) for r in cut.groupBy("_range").agg(F.count("*")).collect())  # a row for each partition
+    before = df.sparkSession.createDataFrame(list(zip([r for r, _ in sizes], accumulate([0] + [n for _, n in sizes]))), "_range int, _base long")
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return cut.join(F.broadcast(before), "_range").withColumn(name, F.col("_base") + place).drop("_range", "_base")
+
+
 def forget(df: DataFrame) -> None:
     """Removes the files of a table written by keep(), once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -68,3 +81,10 @@ def forget(df: DataFrame) -> None:
 def let(value: str, name: str, body: str) -> str:
     """SQL of body with name bound to value, which is evaluated once even where the optimizer copies the expression."""
     return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores after it as it takes to be no column's."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -6,25 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
+from odd_tables import DOCS, ODD_TEXTS
 
-from corpusmill.llm import components, lm_scores, mixing, pieces, quality_rules, simhash, substring, token_files, topk, toxicity, url_filter
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD_TEXTS = ["", None, " \n\t", "one", "Ä ß é 漢字 🙂 ▁ x", "a  b\n\n c d ", "word " * 30000, "x" * 50000, "<|endoftext|> tail", "same text twice over here", "same text twice over here"]
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls, empty and very long texts, ties, repeated rows, and columns whose names clash with the operators' own."""
-    rows = [(i, t, "en", ["s1", None, ""][i % 3], len(t or "")) for i, t in enumerate(ODD_TEXTS)]
-    rows += [rows[9], (None, "no id at all", None, None, None)]
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("shard", "block", "fp", "words", "score", "ids", "row", "shards", "edge", "begin")})
-
-
-@pytest.fixture(scope="module")
-def empty(odd):
-    return odd.limit(0)
+from corpusmill.llm import components, lm_scores, pieces, quality_rules, simhash, topk, toxicity, url_filter
 
 
 def labels(spark, rows=()):
@@ -113,84 +97,6 @@ def test_viterbi_is_best(spark):
         assert total == pytest.approx(best[-1])
 
 
-# 3
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
-    assert mixing.targets([10, 100, 100], [5, 2, 1]) == [30.0, 120.0, 60.0]
-    assert mixing.targets([0, 10], [5, 2]) == [0.0, 10.0]
-    assert mixing.targets([], []) == []
-
-
-def test_split_tree():
-    counts = np.array([1000, 37, 0, 5])
-    out = mixing.split_tree(counts, 7)
-    assert (out.sum(0) == counts).all() and out.sum(1).max() - out.sum(1).min() <= 3 and (mixing.split_tree(counts, 7) == out).all()
-
-
-def test_mix(spark, odd, empty):
-    rows = [(i, "w " * (1 + i * 7919 % 97), "en", f"s{i % 4}", 0) for i in range(1200)]
-    docs = spark.createDataFrame(rows, DOCS)
-    got = mixing.taken(mixing.plan(docs)).collect()
-    assert len(got) == 1200 and all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in got)
-    source = {i: f"s{i % 4}" for i in range(1200)}
-    for s in set(source.values()):
-        own = [r for r in got if source[r["doc_id"]] == s]
-        assert abs(sum(r["taken"] for r in own) / own[0]["target"] - 1) < 0.01
-    again = mixing.taken(mixing.plan(docs.repartition(5))).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
-    mixed = mixing.mixed(docs, shards=4, with_shard=True)
-    count = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert count == {r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]}
-    assert mixed.select("shard").distinct().count() == 4
-    assert mixing.mixed(odd).columns == odd.columns
-    assert mixing.taken(mixing.plan(odd)).count() == odd.count()
-    assert mixing.taken(mixing.plan(empty)).count() == 0 and mixing.mixed(empty).count() == 0
-
-
-def test_mix_cuts_large_last_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "FILL_DOCS", 20)
-    monkeypatch.setattr(mixing, "BLOCKS", 4)
-    monkeypatch.setattr(mixing, "BLOCK_DOCS", 5)
-    docs = spark.createDataFrame([(i, "w " * (1 + i * 7919 % 97), "en", f"s{i % 3}", 0) for i in range(2000)], DOCS)
-    got = mixing.taken(mixing.plan(docs)).collect()
-    assert len(got) == 2000 and all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in got)
-    for s in range(3):
-        own = [r for r in got if r["doc_id"] % 3 == s]
-        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) < 0.01 * own[0]["target"]
-    again = mixing.taken(mixing.plan(docs.repartition(7))).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
-
-
-# 4
-def test_token_files(spark, odd, empty, tmp_path):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(path)
-    texts = [*ODD_TEXTS, "tabs\tand  spaces \n end", " x", "x ", "don't we'll 12 3,4", "a b c\x1fd e"]
-    assert [np.frombuffer(b, "<u2").tolist() for b in token_files.Encoder(path).encode([t or "" for t in texts])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
-    token_files.write_tokens(odd, str(tmp_path / "odd"), path)
-    got = token_files.read_tokens(spark, str(tmp_path / "odd")).orderBy("start").collect()
-    assert len(got) == odd.count() and got[0]["doc_id"] is None
-    start = 0
-    for r in got:
-        text = "no id at all" if r["doc_id"] is None else ODD_TEXTS[r["doc_id"]] or ""
-        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], dtype="<u4")
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
-    assert token_files.lookup(spark, str(tmp_path / "odd"), [3, 77]) == {3: [*tokenizer.encode("one").ids, 2]}
-    token_files.write_tokens(empty, str(tmp_path / "empty"), path)
-    assert token_files.read_tokens(spark, str(tmp_path / "empty")).count() == 0
-
-
-def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(3).integers(-(2**62), 2**62, 20000))
-    h = token_files.PerfectHash.from_bytes(token_files.PerfectHash.build(keys).to_bytes())
-    assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
-    assert token_files.PerfectHash.build(keys[:0]).slots(keys[:5]).tolist() == [-1] * 5
-
-
 # 5
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(5)
@@ -230,38 +136,43 @@ def test_top_k(spark):
     assert [r for r in got if r[0] != 50] == sorted(w for w in want if w[0] != 50)
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
     assert topk.products(np.array([[2**40, 1]]), np.array([[2**20, 3]])).tolist() == [[2**60 + 3]]
+    assert topk.products(np.array([[2**40, 1]]), np.array([[2**40, 3], [-(2**40), 0], [-(2**63), 1]])).tolist() == [[2**63 - 1, -(2**63), -(2**63)]]
 
 
-# 7
-def test_substring(spark, odd, empty):
-    rng = np.random.default_rng(7)
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
-    text = lambda n: " ".join(word() for _ in range(n))
-    passages = [text(60) for _ in range(40)]
-    rows, clean = [], [(i, text(200)) for i in range(40)]
-    for k, p in enumerate(passages):
-        rows += [(100 + 2 * k, f"{text(30 + k)} {p} {text(20)}"), (101 + 2 * k, f"{text(11 + k)} {p} {text(25)}")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in clean + rows], DOCS)
-    found = substring.repeats(docs).collect()
-    hit = {r["doc_id"] for r in found}
-    assert not {x for r in found for x in (r["doc_id"], r["first_doc_id"])} & set(range(40))
-    assert len(hit) >= 39 and all(d % 2 == 1 for d in hit)
-    raw = {i: t.encode() for i, t in clean + rows}
-    for r in found:
-        assert raw[r["doc_id"]][r["begin"] : r["end"]] in raw[r["first_doc_id"]]
-    out = {r["doc_id"]: r["text"] for r in substring.deduplicated(docs).collect()}
-    assert all(out[i] == t for i, t in clean) and len(out) == 120
-    assert all(len(out[d].split()) < len(raw[d].split()) - 20 for d in hit)
-    copies = spark.createDataFrame([(i, clean[0][1] + " é ü", "en", "s", 0) for i in (5, 9, 7)], DOCS)
-    assert [r["doc_id"] for r in substring.deduplicated(copies).collect()] == [5]
-    kept = substring.deduplicated(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
-    assert substring.deduplicated(empty).count() == 0
-
-
-def test_gear_is_local():
-    data = np.random.default_rng(8).integers(0, 256, 500, dtype=np.uint8)
-    assert (substring.gear(data)[100:] == substring.gear(data[100 - substring.GEAR_BYTES + 1 :])[substring.GEAR_BYTES - 1 :]).all()
+def test_top_k_of_very_large_components(spark):
+    """Components and products beyond a long are its ends; the smaller vec_id comes first among them."""
+    rows = [(i, [float(i % 7), float(-i)]) for i in range(200)] + [(300, [1e300, 1.0]), (301, [1e300, -1e300]), (350, [1e18, 1e18]), (302, [-1e30, 2.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    clean = [(r["vec_id"], r["v"]) for r in v.collect()]
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    assert len(clean) == 204 and dict(clean)[300] == [2**63 - 1, 256] and dict(clean)[302] == [-(2**63), 512]
+    want = []
+    for q, x in clean:
+        if q % 50 == 0:
+            s = sorted((-clip(sum(a * b for a, b in zip(x, y))), d) for d, y in clean if d != q)[:5]
+            want += [(q, k + 1, d, -n) for k, (n, d) in enumerate(s)]
+    assert sorted(map(tuple, topk.top_k(v.where("vec_id % 50 = 0"), v, 5).collect())) == sorted(want)
+
+
+def test_top_k_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERIES", 20)
+    rng = np.random.default_rng(14)
+    seeds = rng.normal(size=(30, 16)) * 4
+    rows = [(i, (seeds[i % 30] + rng.normal(size=16) * 0.05).tolist()) for i in range(3000)]
+    rows += [(4000 + 50 * i, [float(i)] * (2 + i)) for i in range(20)]  # more lengths than have pivots
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    queries = v.where("vec_id % 50 = 0")
+    data, found, routed = topk._routes(queries, v, 5)
+    blocks = data.where("dim = 16").select("grp", "block").distinct().count()
+    assert routed.where("dim = 16").count() < 0.1 * blocks * 60
+    clean = [(r["vec_id"], np.array(r["v"])) for r in v.collect()]
+    want = []
+    for q, x in clean:
+        if q % 50 == 0:
+            s = sorted((-int(x @ y), d) for d, y in clean if d != q and len(y) == len(x))[:5]
+            want += [(q, k + 1, d, -n) for k, (n, d) in enumerate(s)]
+    assert sorted(map(tuple, topk.top_k(queries, v, 5).collect())) == sorted(want)
 
 
 # 8
