@@ -9,7 +9,8 @@ document, no passage is lost altogether.
 
 A digest is 64 bits of hash and the chunk's length. Sums by digest are partial before the shuffle, and the join that
 brings keepers to chunks is one that adaptive execution can split, so a chunk that a third of all documents have is
-no single task.
+no single task. What a row loses is gathered by doc_id and a hash of the text: rows that share a doc_id but not a text
+lose what is in them, and equal rows are gathered once.
 
 Defined cases: null and empty texts, and those of fewer than WORDS words, have no chunks and stay as they are; a chunk
 that repeats within one document only, or between rows of one doc_id, stays; a null doc_id stays; an empty table gives
@@ -20,12 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
-from .shared import keep, let, small_batches, table
+from .shared import WORD, keep, let, small_batches, table
 
 #: Words of a chunk at least, one cut in so many words, bytes that the gear hash sees, bytes of text handled at once.
 WORDS, CUT_EVERY, GEAR_BYTES, BATCH_BYTES = 16, 5, 16, 1 << 21
@@ -72,7 +72,7 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
 
 def _chunk_rows(batches):
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), [(t or "").encode() for t in batch.column("text").to_pylist()]
+        ids, hashes, texts = batch.column("doc_id").to_numpy(), batch.column("hash").to_numpy(), [(t or "").encode() for t in batch.column("text").to_pylist()]
         at = 0
         while at < len(texts):
             to, size = at, 0
@@ -81,41 +81,57 @@ def _chunk_rows(batches):
                 to += 1
             own, a, b, digest = chunks(texts[at:to])
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(digest, dtype=np.uint64).view(np.int64)), pa.array((b - a).astype(np.int32)), pa.array(ids[at:to][own].astype(np.int64)), pa.array(a.astype(np.int32))], names=["digest", "size", "doc_id", "begin"])
+                cells = [np.array(digest, dtype=np.uint64).view(np.int64), (b - a).astype(np.int32), ids[at:to][own], hashes[at:to][own], a.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["digest", "size", "doc_id", "hash", "begin"])
             at = to
 
 
+#: SQL of the spans' runs: spans ascend, and so do their ends; a run ends before a span that begins beyond it.
+_RUNS = let(
+    "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i].begin > get(s, i - 1).end)",
+    "opens",
+    """transform(opens, (o, k) -> struct(s[o].begin AS begin, s[coalesce(get(opens, k + 1), size(s)) - 1].end AS end,
+         array_min(transform(slice(s, o + 1, coalesce(get(opens, k + 1), size(s)) - o), x -> x.first_doc_id)) AS first_doc_id))""",
+)
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _lost(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text), spans (begin, end, first_doc_id) of rows that lose something; spans ascend and are apart."""
+    small_batches(docs.sparkSession)
+    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("hash"), F.col("text").cast("string").alias("text"))
+    rows = keep(d.mapInArrow(_chunk_rows, "digest long, size int, doc_id long, hash long, begin int"), "chunks")
+    shared = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    lost = rows.join(shared, ["digest", "size"]).where("doc_id > first_doc_id").select("doc_id", "hash", F.struct("begin", (F.col("begin") + F.col("size")).alias("end"), "first_doc_id").alias("span"))
+    return lost.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("span")).alias("s")).select("doc_id", "hash", F.expr(_RUNS).alias("spans"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, begin, end (bytes of the UTF-8 text) of passages that doc_id loses, first_doc_id: the smallest document that has a chunk of it."""
-    small_batches(docs.sparkSession)
-    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = keep(d.mapInArrow(_chunk_rows, "digest long, size int, doc_id long, begin int"), "chunks")
-    shared = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
-    lost = rows.join(shared, ["digest", "size"]).where("doc_id > first_doc_id").select("doc_id", "begin", (F.col("begin") + F.col("size")).alias("end"), "first_doc_id")
-    before = W.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1)
-    lost = lost.withColumn("_new", (F.col("begin") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
-    lost = lost.withColumn("_run", F.sum("_new").over(W.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(W.unboundedPreceding, 0)))
-    return lost.groupBy("doc_id", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")).drop("_run")
+    return _lost(docs).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
 
 
-#: SQL of text without _spans (begin, end in bytes; ascending and apart): the pieces between them.
+#: SQL of text without spans (begin, end in bytes; ascending and apart): the pieces between them.
 _WITHOUT = let(
     "encode(text, 'UTF-8')",
     "raw",
-    """array_join(transform(sequence(0, size(_spans)), i -> decode(substring(raw,
-         CASE WHEN i = 0 THEN 1 ELSE get(_spans, i - 1).end + 1 END,
-         coalesce(get(_spans, i).begin, octet_length(text)) - CASE WHEN i = 0 THEN 0 ELSE get(_spans, i - 1).end END), 'UTF-8')), '')""",
+    """array_join(transform(sequence(0, size(spans)), i -> decode(substring(raw,
+         CASE WHEN i = 0 THEN 1 ELSE get(spans, i - 1).end + 1 END,
+         coalesce(get(spans, i).begin, octet_length(text)) - CASE WHEN i = 0 THEN 0 ELSE get(spans, i - 1).end END), 'UTF-8')), '')""",
 )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with text (and n_chars, if there) without repeated passages; a row that loses all its words goes."""
-    spans = repeats(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left")
-    new = joined.withColumn("_text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(_WITHOUT)))
-    new = new.where("_spans IS NULL OR _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    put = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long") if "n_chars" in docs.columns else None}
-    return new.select(*[put.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(_lost(docs), ["doc_id", "hash"], "left").select("row", "spans", F.col("row.text").cast("string").alias("text"))
+    cut = F.col("spans").isNotNull()
+    rows = rows.select("row", "spans", F.when(cut, F.expr(_WITHOUT)).alias("text")).where(~cut | F.col("text").rlike(WORD))
+    put = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[F.when(cut, put[c]).otherwise(F.col("row")[c]).alias(c) if c in put else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
