@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .shared import small_batches, table
+from .shared import free_name, small_batches, table
 
 MARK = "▁"
 #: Strings that a worker remembers.
@@ -143,33 +144,34 @@ def pieces(model: str) -> Pieces:
     return _MODELS[model]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """The columns of docs without text, and ids (array of int)."""
+def encode(docs: DataFrame, model: str, name: str = "ids") -> DataFrame:
+    """The columns of docs without text, and the ids in a column name (array of int); a column of that name must not be there."""
     small_batches(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "ids")]
+    rest = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in rest]
+    if free_name(names, name) != name:
+        raise ValueError(f"there is a column {name} already")
 
     def run(batches):
         sp = pieces(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = pa.array([sp.encode(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids], names=[*names, "ids"])
+                ids = pa.array([sp.encode(t) for t in part.column(len(names)).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), ids], names=[*names, name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, ids array<int>" if kinds else "ids array<int>")
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").cast("string").alias("text")).mapInArrow(run, StructType([*rest, StructField(name, ArrayType(IntegerType()))]))
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text from doc_id and ids."""
+def decode(encoded: DataFrame, model: str, name: str = "ids") -> DataFrame:
+    """doc_id and text from doc_id and the ids in the column name."""
 
     def run(batches):
         sp = pieces(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sp.decode(x or ()) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{name}`").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from odd_tables import DOCS, ODD_TEXTS
+from odd_tables import CLASHES, DOCS, ODD_TEXTS
 
 from corpusmill.llm import components, lm_scores, pieces, quality_rules, simhash, topk, toxicity, url_filter
 
@@ -66,9 +66,11 @@ def test_pieces_round_trip(spark, odd, empty):
     for t in [*ODD_TEXTS, " lead", "trail ", "  two", "a\nb \n c", "▁▁ a▁b", "\x00\x7f", "é"]:
         assert sp.decode(sp.encode(t)) == (t or "")
     assert all(r["round_trip"] for r in pieces.digests(odd, pieces.default_model()).collect())
-    ids = pieces.encode(odd, pieces.default_model())
-    assert set(ids.columns) == set(odd.columns) - {"text"}
-    back = {r["doc_id"]: r["text"] for r in pieces.decode(ids, pieces.default_model()).collect()}
+    with pytest.raises(ValueError, match="ids"):
+        pieces.encode(odd, pieces.default_model())
+    ids = pieces.encode(odd, pieces.default_model(), "ids_")
+    assert ids.columns == [c for c in odd.columns if c != "text"] + ["ids_"] and all(r[c] == f"own {c}" for r in ids.collect() for c in CLASHES)
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(ids, pieces.default_model(), "ids_").collect()}
     assert back == {**{i: t or "" for i, t in enumerate(ODD_TEXTS)}, None: "no id at all"}
     assert pieces.digests(empty, pieces.default_model()).count() == 0
 
