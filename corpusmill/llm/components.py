@@ -3,6 +3,9 @@
 Each round rewrites the edges so that every node points at a smaller neighbour; the rounds end when the edges stay as
 they are, which takes a logarithmic number of rounds. Every round's edges are a table in the shared folder. A hub
 with very many edges is only met by joins, which adaptive execution splits, and by sums with partial aggregation.
+
+Defined cases: an edge with a null end, or from a node to itself, links nothing; repeated edges count once; an empty
+table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations

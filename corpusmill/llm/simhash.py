@@ -42,19 +42,26 @@ HOT_CLASSES = 2000
 PAIRS = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; of the whole word sequence, if it is shorter; none without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        return xxh64_intdigest(b" ".join(words), SEED)
-    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(words[i:] for i in range(shingle))))), dtype="<u8", count=len(words) - shingle + 1)
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)][: len(words)], dtype="<u8")
+    return np.fromiter(map(partial(xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(words[i:] for i in range(shingle))))), dtype="<u8", count=len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 255):  # a sum of 255 bits fits a byte
         ones += np.add.reduce(np.unpackbits(hashes[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches):
     for batch in batches:
         fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)

@@ -2,11 +2,10 @@
 
 import numpy as np
 import pytest
+from odd_tables import CLASHES, DOCS
 
 import corpus_pipeline
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
@@ -65,6 +64,62 @@ def test_near_dedup_rows_without_or_with_one_doc_id(spark, sf_dir):
     assert sorted((str(r["doc_id"]), r["text"][0]) for r in got) == [("1", "c"), ("5", "d"), ("6", "e"), ("6", "f"), ("7", "b"), ("None", "a")]
 
 
+def test_near_dedup_meets_brute_force_on_texts_with_a_common_passage(spark, sf_dir, monkeypatch):
+    """Buckets of very many texts that share most of their words are joined by their rare shingles."""
+    from corpusmill.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SMALL", 4)
+    rng = np.random.default_rng(19)
+    passage, rows = [f"p{i}" for i in range(80)], []
+    for i in range(400):
+        own = [f"w{x}" for x in rng.integers(0, 50000, rng.integers(5, 60))]
+        rows.append((i, " ".join([*own, *passage]), "en", "s", 0))
+        if i % 7 == 0:
+            rows.append((1000 + i, " ".join([*own, *passage, *[f"x{x}" for x in rng.integers(0, 50000, rng.integers(1, 30))]]), "en", "s", 0))
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for _, x, *_ in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = {min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in set(label)}
+    assert len(want) < len(rows) - 30
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+
+
+def test_prefix_pairs_miss_nothing(spark):
+    from corpusmill.llm import near_copies
+
+    rng = np.random.default_rng(20)
+    texts = []
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 60, rng.integers(6, 40))]
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[rng.integers(0, 3) :] + [f"v{x}" for x in rng.integers(0, 9, rng.integers(0, 3))]))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "class long, text string, component long")
+    got = {(r["a"], r["b"]) for r in near_copies.prefix_pairs(df, 5, 0.8).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 50 and want <= got and len(got) < 4 * len(want)
+
+
+def test_stages_meet_odd_tables(spark, sf_dir, odd):
+    """No column of the input is lost or changed, whatever its name; n_chars follows the text."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        assert out.count() and all(r[c] == f"own {c}" for r in out.collect() for c in CLASHES), name
+    out = corpus_pipeline.encode_stage(spark, odd, sf_dir)
+    assert out.columns == [c for c in odd.columns if c != "text"] + ["ids_"] and out.count() == odd.count()
+
+
+def test_near_dedup_of_rows_without_words(spark, sf_dir, odd):
+    got = corpus_pipeline.near_dedup_stage(spark, odd, sf_dir).select("doc_id").collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, [0, 3, 4, 5, 6, 7, 8, 9, None]))
+
+
 def test_empty(spark, sf_dir):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
