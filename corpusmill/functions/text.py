@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 LETTERS = "ABCDEFGHIJ"
+#: White space as scripts see it, Unicode's and four separators; in a Java pattern after (?U).
+SPACE = r"[\s\x1c-\x1f]"
 
 
 # Normalisers. They differ on purpose; each operator names the one it uses.
 def norm_ws(c: Column) -> Column:
     """White space (Unicode's, too) collapsed and stripped; case kept."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, f"(?U){SPACE}+", " "))
 
 
 def norm_ws_lower(c: Column) -> Column:
@@ -33,7 +35,7 @@ def norm_tag_spaced(c: Column) -> Column:
 
 
 def norm_punct(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s.\-]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s.\-]", " "), f"(?U){SPACE}+", " "))
 
 
 def norm_tokens(c: Column) -> Column:
@@ -50,8 +52,23 @@ def norm_nfkc(c: Column) -> Column:
     return norm_ws(F.lower(_nfkc(c)))
 
 
-# Tokens.
-STOP = ["and", "are", "but", "for", "from", "has", "have", "not", "that", "the", "this", "was", "were", "which", "with", "you", "all", "any", "can", "its", "may", "our", "will", "your"]
+# Tokens. The stop lists are fixed values; each operator names the one it uses.
+COVERAGE_STOP = """the and for with that this from are was were has have been which what
+when where how why can could should would may might must not all any each between
+following true false none above about into over under more most less least other
+than then them they their there here also does doing done being its it's used use
+using two one three four five per only such same different means term terms refer
+refers defined define definition option options answer question correct""".split()
+RETRIEVAL_STOP = """the and for that with this are was which from has have not can may shall will its their than
+when what which where how why who does did any all one two following above below used use using
+purpose main key type types based into such other""".split()
+CONTAINMENT_STOP = """the and for that with this are was which from has have not can may shall will its their than
+when what where how why who does did any all one two following above below used use using such
+purpose main key type types based into other correct answer option because refers statement true false""".split()
+CEILING_STOP = """the and for are that this with from not can used use which when what does his her its was were has have had
+will would should could may might must shall all any other than then there these those such only also more most some one
+two into over under between within during after before above below each both same different using based provide provides
+provided following above.""".split()
 
 
 def all_terms(c: Column) -> Column:
@@ -59,9 +76,19 @@ def all_terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9][a-z0-9.\-]{2,}"), F.lit(0))
 
 
-def content_terms(c: Column) -> Column:
-    """all_terms without stop words."""
-    return F.array_except(all_terms(c), F.array(*[F.lit(w) for w in STOP]))
+def content_terms(c: Column, stop: list[str] = RETRIEVAL_STOP) -> Column:
+    """all_terms, distinct, without stop words."""
+    return F.array_except(all_terms(c), F.array(*[F.lit(w) for w in dict.fromkeys(stop)]))
+
+
+def coverage_terms(c: Column) -> Column:
+    """Distinct terms of a text without its [tags], by the coverage stop list."""
+    return content_terms(F.regexp_replace(c, r"\[[^\]]*\]", " "), COVERAGE_STOP)
+
+
+def scan_words(c: Column) -> Column:
+    """Words of a text whose [tags] are deleted, lower case, between any white space."""
+    return F.array_remove(F.split(norm_tag_deleted(c), " "), "")
 
 
 def plain_words(c: Column) -> Column:
@@ -114,21 +141,36 @@ def content_key(question: Column, choices: Column) -> Column:
     return F.md5(F.concat_ws("|", norm_ws_lower(question), F.array_join(F.array_sort(F.transform(choices, norm_ws_lower)), "|")))
 
 
-# Answers.
+# Answers. What the patterns accept is fixed by the published harness: the capture is letters, digits, blanks and commas, white
+# space may be a line feed, and only a text's start is looked at for a bare letter.
+STRICT = rf"(?Uimd)^ANSWER{SPACE}*:{SPACE}*([A-Za-z\p{{Nd}} ,]+){SPACE}*(?:$|\n|\.)"
+LOOSE = rf"(?Uid)ANSWER{SPACE}*:{SPACE}*([A-Za-z\p{{Nd}} ,]+)(?:[^\p{{L}}\p{{N}}_]|$)"
+BARE = r"(?Ud)^[\s\x1c-\x1f]*([A-Ea-e])(?:[).:,\s\x1c-\x1f]|$)"
+
+
 def parse_letter(completion: Column, n: Column, bare: bool = True) -> Column:
-    """The last ANSWER line's letter, else the last ANSWER anywhere, else (bare) a leading "X)" line; '' if none is among the first n letters."""
+    """What the last strict match says, else the last loose one, else (bare) a letter that the text begins with; '' unless it is one of the first n letters."""
     text = F.coalesce(completion, F.lit(""))
-    strict = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*ANSWER[ \t]*:[ \t]*([^\n\r]*)$"), F.lit(1)), F.lit(-1))
-    loose = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?i)ANSWER[ \t]*:[ \t]*([^\n\r]*)"), F.lit(1)), F.lit(-1))
-    line = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*([A-Ja-j])[).:]"), F.lit(1)), F.lit(-1)) if bare else F.lit(None).cast("string")
-    found = F.upper(F.rtrim(F.regexp_replace(F.trim(F.coalesce(strict, loose, line, F.lit(""))), r"[. \t]+$", "")))
-    return F.when((F.length(found) == 1) & (F.instr(F.substring(F.lit(LETTERS), 1, 10), found) > 0) & (F.instr(F.lit(LETTERS), found) <= n), found).otherwise("")
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+    found = F.upper(F.trim(F.coalesce(*[last(x) for x in (STRICT, LOOSE, *([BARE] if bare else []))], F.lit(""))))
+    place = F.instr(F.lit(LETTERS), found)
+    return F.when((F.length(found) == 1) & (place > 0) & (place <= n), found).otherwise("")
+
+
+#: Places where a broken completion names its letter, in the order in which they are tried.
+_OPTION = rf"{SPACE}*\**{SPACE}*\(?([A-E])"
+RECOVERY = [
+    rf"(?U)\bANSWER:{SPACE}*\**{SPACE}*([A-E])\b",
+    rf"(?Ui)correct answer is{_OPTION}\)?[).*: ]",
+    rf"(?Ui)answer is{_OPTION}\)?[).*: ]",
+    rf"(?Umd)^{_OPTION}\)[\s\x1c-\x1f*]",
+    rf"(?Ui)option{_OPTION}\)?\b[^.]{{0,40}}\bis (?:the )?correct",
+]
 
 
 def recover_letter(completion: Column) -> Column:
-    """Letter of a broken format: five patterns in order, the first that hits."""
-    patterns = [r"(?i)answer[ \t]*:[ \t]*\(?([A-E])\b", r"(?i)correct answer is[ \t]*\(?([A-E])\b", r"(?i)answer is[ \t]*\(?([A-E])\b", r"(?m)^[ \t]*\(?([A-E])[).:]", r"(?i)option ([A-E]) is correct"]
-    return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(completion, p, 1), F.lit("")) for p in patterns], F.lit("")))
+    """Letter of a broken format: the first pattern that hits, and its first hit; '' if none does."""
+    return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(completion, p, 1), F.lit("")) for p in RECOVERY], F.lit("")))
 
 
 def letter(index: Column) -> Column:

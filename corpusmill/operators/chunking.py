@@ -8,6 +8,17 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from .dedup import pack
+from .gates import first_reason
+
+
+#: Headings of what stands before a document's matter.
+FRONT_MATTER = r"(?Ui)\b(foreword|scope|references|definitions,? symbols and abbreviations|abbreviations|contents|copyright|change history|document history|introduction|modal verbs terminology)\b"
+
+
+def chunk_gate(chunks: DataFrame, excluded: list[str], least: int = 40) -> DataFrame:
+    """chunks (series, headings, text) with reason: excluded, front_matter, too_short (null: kept)."""
+    words = F.size(T.plain_words(F.col("text")))
+    return first_reason(chunks, [("excluded", F.col("series").isin(*excluded)), ("front_matter", F.col("headings").rlike(FRONT_MATTER)), ("too_short", words < least)])
 
 
 def sections(docs: DataFrame, heading: str = r"^(#{1,4})[ \t]+(.*)$") -> DataFrame:

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Rows of a side that may be broadcast; above, both sides are shuffled by the key.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a side that may be broadcast; above, both sides are shuffled by the key.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small; the count stops at the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, a table of items or queries, with a broadcast hint if it is small; the look at it stops at the bound.
+
+    What hangs on the corpus is never asked: that would read it once more at plan time.
+    """
+    size = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns])) + 16 * len(df.columns)
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
+
+
+def without_prefix(items: DataFrame, pattern: str) -> DataFrame:
+    """items with every match of a boilerplate pattern taken out of their text; . matches line feeds."""
+    return items.withColumn("text", F.regexp_replace("text", f"(?s){pattern}", ""))
 
 
 def target_index(items: DataFrame, k: int) -> DataFrame:
     """shingle, item_id: the first item that has it."""
-    words = items.select("item_id", T.plain_words(F.col("text")).alias("w"))
+    words = items.select("item_id", T.scan_words(F.col("text")).alias("w"))
     return words.select("item_id", F.explode(T.shingles("w", k)).alias("shingle")).groupBy("shingle").agg(F.min("item_id").alias("item_id"))
 
 
 def scan(docs: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
-    """doc_id, item_id: records that share a run of k words with an item, once each. Shingles are distinct by document before the join and reduced by it before the shuffle."""
-    words = docs.select("doc_id", T.plain_words(F.col("text")).alias("w"))
+    """doc_id, item_id: records that share a run of k words with an item, once each; [tags] don't count. Shingles are distinct by document before the join and reduced by it before the shuffle."""
+    words = docs.select("doc_id", T.scan_words(F.col("text")).alias("w"))
     probes = words.select("doc_id", F.explode(F.array_distinct(T.shingles("w", k))).alias("shingle"))
     return probes.join(small(target_index(items, k)), "shingle").select("doc_id", "item_id").distinct()
 
@@ -35,18 +47,25 @@ def hits_by_item(edges: DataFrame) -> DataFrame:
 
 def scan_summary(edges: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
     """hit, total, frac and too_short (items of fewer than k words), one row."""
-    n = items.select(F.size(T.plain_words(F.col("text"))).alias("n")).agg(F.count("*").alias("total"), F.count_if(F.col("n") < k).alias("too_short"))
+    n = items.select(F.size(T.scan_words(F.col("text"))).alias("n")).agg(F.count("*").alias("total"), F.count_if(F.col("n") < k).alias("too_short"))
     return edges.agg(F.countDistinct("item_id").alias("hit")).crossJoin(n).select("hit", "total", F.round(F.col("hit") / F.col("total"), 6).alias("frac"), "too_short")
 
 
 def tail_tiers(docs: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
-    """item_id, tail_hits, full_hits: records with an item's last k words, and of those the ones with the whole item. The tail is an equi-join, so no theta join is left."""
-    w = items.select("item_id", T.plain_words(F.col("text")).alias("w")).where(F.size("w") >= k)
-    tails = w.select("item_id", T.tail("w", k).alias("shingle"), F.array_join("w", " ").alias("item"))
-    words = docs.select("doc_id", T.plain_words(F.col("text")).alias("w"))
-    probes = words.select("doc_id", F.array_join("w", " ").alias("doc"), F.explode(F.array_distinct(T.shingles("w", k))).alias("shingle"))
-    met = probes.join(small(tails), "shingle").select("item_id", F.expr("contains(concat(' ', doc, ' '), concat(' ', item, ' '))").alias("full"))
-    return met.groupBy("item_id").agg(F.count("*").alias("tail_hits"), F.count_if("full").alias("full_hits"))
+    """item_id, tail_hits, full_hits, gold_hits: records with an item's last k words, of those the ones with the whole item, and of those the ones with its gold, too.
+
+    items: item_id, text, and gold, if there. The tail is an equi-join of (doc_id, shingle), so no theta join is left; texts are fetched for the hits alone.
+    """
+    gold = T.norm_tag_deleted(F.col("gold")) if "gold" in items.columns else F.lit("")
+    own = items.select("item_id", T.scan_words(F.col("text")).alias("w"), gold.alias("gold")).where(F.size("w") >= k)
+    tails = small(own.select("item_id", T.tail("w", k).alias("shingle")))
+    probes = docs.select("doc_id", T.scan_words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(T.shingles("w", k))).alias("shingle"))
+    hits = probes.join(tails, "shingle").select("doc_id", "item_id")
+    texts = docs.select("doc_id", T.norm_tag_deleted(F.col("text")).alias("doc"))
+    met = hits.join(texts, "doc_id").join(small(own.select("item_id", F.array_join("w", " ").alias("item"), "gold")), "item_id")
+    full = F.col("doc").contains(F.col("item"))
+    gold = full & (F.col("gold") != "") & F.col("doc").contains(F.col("gold"))
+    return met.groupBy("item_id").agg(F.count("*").alias("tail_hits"), F.count_if(full).alias("full_hits"), F.count_if(gold).alias("gold_hits"))
 
 
 def without_tails(rows: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -58,41 +77,59 @@ def without_tails(rows: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 
 def copy_check(docs: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
-    """doc_id of rows that equal an item word by word or end in an item's last k words."""
-    norm = lambda d: d.withColumn("w", T.plain_words(F.col("text"))).withColumn("_all", F.array_join("w", " ")).withColumn("_tail", T.tail("w", k))
+    """doc_id of rows that equal an item word by word or end in an item's last k words; [tags] don't count."""
+    norm = lambda d: d.withColumn("w", T.scan_words(F.col("text"))).withColumn("_all", F.array_join("w", " ")).withColumn("_tail", T.tail("w", k))
     own = norm(items)
     keys = own.select(F.col("_all").alias("_key")).unionByName(own.where(F.size("w") >= k).select(F.col("_tail").alias("_key"))).distinct()
     probe = norm(docs).select("doc_id", F.explode(F.array_distinct(F.array("_all", "_tail"))).alias("_key"))
     return probe.join(small(keys), "_key", "left_semi").select("doc_id").distinct()
 
 
-def item_terms(items: DataFrame) -> DataFrame:
-    return items.select("item_id", F.explode(F.array_distinct(T.content_terms(F.col("text")))).alias("term"))
+def item_terms(items: DataFrame, terms: Callable[[Column], Column] = T.content_terms) -> DataFrame:
+    return items.select("item_id", F.explode(terms(F.col("text"))).alias("term"))
 
 
-def rare_terms(items: DataFrame, max_df: int) -> DataFrame:
+def rare_terms(items: DataFrame, max_df: int, terms: Callable[[Column], Column] = T.coverage_terms) -> DataFrame:
     """item_id, term: terms that at most max_df items have."""
-    terms = item_terms(items)
-    rare = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("term")
-    return terms.join(rare, "term")
+    found = item_terms(items, terms)
+    rare = found.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("term")
+    return found.join(rare, "term")
 
 
-def best_coverage(units: DataFrame, unit: str, terms: DataFrame) -> DataFrame:
-    """item_id, n_terms, coverage (largest share of the item's terms in one unit, 0 if none), best (smallest unit that has it). units: unit, text."""
-    vocabulary = small(terms.select("term").distinct())
-    found = units.select(unit, F.explode(F.array_distinct(T.content_terms(F.col("text")))).alias("term")).join(vocabulary, "term", "left_semi")
+def _best(shared: DataFrame, terms: DataFrame, unit: str) -> DataFrame:
+    """shared: item_id, unit, n (terms that they share). A row for each item: n_terms, coverage, best."""
     n = terms.groupBy("item_id").agg(F.count("*").alias("n_terms"))
-    shared = found.join(small(terms), "term").groupBy("item_id", unit).agg(F.count("*").alias("n"))
     best = shared.groupBy("item_id").agg(F.max("n").alias("n"), F.max_by(unit, F.struct("n", -F.col(unit))).alias("best"))
     return n.join(best, "item_id", "left").select("item_id", "n_terms", F.round(F.coalesce("n", F.lit(0)) / F.col("n_terms"), 6).alias("coverage"), "best")
 
 
+def best_coverage(units: DataFrame, unit: str, items: DataFrame, terms: Callable[[Column], Column] = T.coverage_terms) -> DataFrame:
+    """item_id, n_terms, coverage (largest share of the item's terms in one unit, 0 if none), best (smallest unit that has it).
+
+    units: unit, text; items: item_id, term. One join reduces the units' terms before anything is shuffled.
+    """
+    found = units.select(unit, F.explode(terms(F.col("text"))).alias("term"))
+    return _best(found.join(small(items), "term").groupBy("item_id", unit).agg(F.count("*").alias("n")), items, unit)
+
+
 def windows(docs: DataFrame, size: int = 40, stride: int = 20) -> DataFrame:
     """doc_id, start, win_id (doc_id * 1000000 + start), text: word windows of documents."""
     w = docs.select("doc_id", T.plain_words(F.col("text")).alias("w")).select("doc_id", F.explode(T.word_windows("w", size, stride)).alias("x"))
     return w.select("doc_id", F.col("x.start").alias("start"), (F.col("doc_id") * 1000000 + F.col("x.start")).alias("win_id"), F.array_join("x.words", " ").alias("text"))
 
 
+def window_coverage(docs: DataFrame, items: DataFrame, size: int = 40, stride: int = 20, stop: list[str] = T.CONTAINMENT_STOP) -> DataFrame:
+    """best_coverage over word windows (win_id as in windows). Each word is looked at once: a term that an item has then goes to the windows around its place."""
+    w = docs.select("doc_id", T.plain_words(F.col("text")).alias("w"))
+    placed = w.select("doc_id", F.size("w").alias("words"), F.posexplode("w").alias("at", "word"))
+    terms = placed.select("doc_id", "words", "at", F.explode(T.content_terms(F.col("word"), stop)).alias("term")).join(small(items), "term")
+    starts = F.sequence(F.floor(F.col("at") / stride) * stride, F.lit(0), F.lit(-stride))
+    holds = lambda s: (s + size > F.col("at")) & ((s == 0) | (F.least(F.lit(size), F.col("words") - s) * 3 >= size))
+    placed = terms.select("item_id", "doc_id", "term", F.explode(F.filter(F.slice(starts, 1, -(-size // stride)), holds)).alias("start"))
+    shared = placed.groupBy("item_id", (F.col("doc_id") * 1000000 + F.col("start")).alias("win_id")).agg(F.countDistinct("term").alias("n"))
+    return _best(shared, items, "win_id")
+
+
 def coverage_buckets(coverage: DataFrame) -> DataFrame:
     c = F.col("coverage")
     return coverage.agg(F.count("*").alias("items"), F.count_if(c == 1).alias("full"), F.count_if(c >= 0.8).alias("ge80"), F.count_if(c >= 0.5).alias("ge50"), F.count_if(c < 0.2).alias("lt20"), F.round(F.avg("coverage"), 6).alias("mean"))

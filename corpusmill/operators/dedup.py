@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from . import ranges
 
 
 def first_of(rows: DataFrame, key: str | Column, order: str) -> DataFrame:
@@ -22,8 +24,7 @@ def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 def capped(rows: DataFrame, key: str, order: str, share: float, least: int = 0) -> DataFrame:
     """At most max(least, int(share * rows)) rows of each key, in order."""
     n = rows.agg(F.greatest(F.lit(least), F.floor(F.count("*") * share)).cast("long").alias("_cap"))
-    ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order)))
-    return ranked.crossJoin(F.broadcast(n)).where("_n <= _cap").drop("_n", "_cap")
+    return ranges.numbered(rows, [key], [F.col(order)], "_n").crossJoin(F.broadcast(n)).where("_n < _cap").drop("_n", "_cap")
 
 
 def top_by_hash(rows: DataFrame, key: str, id_col: str, salt: str, n: int) -> DataFrame:
@@ -33,25 +34,43 @@ def top_by_hash(rows: DataFrame, key: str, id_col: str, salt: str, n: int) -> Da
 
 def budget_prefix(rows: DataFrame, key: str, score: str, tie: str, cost: str, budget: float) -> DataFrame:
     """Rows of each key by falling score as long as the cost before them is under the budget."""
-    w = W.partitionBy(key).orderBy(F.desc(score), tie).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("_before", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(F.col("_before") < budget).drop("_before")
+    return ranges.running(rows, [key], [F.desc(score), F.col(tie)], F.col(cost), "_before").where(F.col("_before") < budget).drop("_before")
 
 
-def budget_skip(costs: str, budget: int) -> Column:
-    """Places (from 0) of an array of costs that fit one after another, skipping those that would overflow."""
-    return F.expr(
-        f"""aggregate(transform({costs}, (c, i) -> struct(c AS c, i AS i)), named_struct('left', CAST({budget} AS BIGINT), 'taken', CAST(array() AS ARRAY<INT>)),
-              (a, x) -> CASE WHEN x.c <= a.left THEN named_struct('left', a.left - x.c, 'taken', array_append(a.taken, x.i)) ELSE a END, a -> a.taken)"""
-    )
+def budget_skip(rows: DataFrame, key: str, rank: str, cost: str, budget: int) -> DataFrame:
+    """Rows of each key that fit the budget one after another by rank, skipping those that would overflow.
+
+    The rule looks at one row after another, so a key's rows are one task; a key is a pool of ranked passages, bounded by its depth.
+    """
+
+    def fill(key, pool: pd.DataFrame) -> pd.DataFrame:
+        pool, left, taken = pool.sort_values(rank, kind="stable"), budget, []
+        for i, c in enumerate(pool[cost]):
+            if c <= left:
+                left -= c
+                taken.append(i)
+        return pool.iloc[taken]
+
+    return rows.groupBy(key).applyInPandas(fill, rows.schema)
+
+
+def cycle(pool: DataFrame, id_col: str, times: float) -> DataFrame:
+    """times as many rows as the pool has, rounded down: the pool in id order again and again, ids suffixed #round."""
+    size = pool.agg(F.count("*").alias("_size"))
+    ranked = ranges.numbered(pool, [], [F.col(id_col)], "_n").crossJoin(F.broadcast(size))
+    left = F.floor(F.col("_size") * times) - 1 - F.col("_n")
+    out = ranked.where(left >= 0).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(left / F.col("_size")))))
+    return out.withColumn("row_id", F.concat(F.col(id_col).cast("string"), F.lit("#"), F.col("round").cast("string"))).drop("_n", "_size")
 
 
-def cycle(pool: DataFrame, id_col: str, n: int) -> DataFrame:
-    """n rows: the pool in id order again and again, ids suffixed #round. The pool's size is read once."""
-    size = max(1, pool.count())
-    rounds = pool.sparkSession.range(-(-n // size)).withColumnRenamed("id", "round")
-    ranked = pool.withColumn("_n", F.row_number().over(W.orderBy(id_col)))
-    out = ranked.crossJoin(F.broadcast(rounds)).where(F.col("round") * size + F.col("_n") <= n)
-    return out.withColumn("row_id", F.concat(F.col(id_col).cast("string"), F.lit("#"), F.col("round").cast("string"))).drop("_n")
+def interleaved(rows: DataFrame, order: str, anchors: DataFrame, anchor_order: str, every: int) -> DataFrame:
+    """place, kind, id: one anchor after every so many rows, the anchors again and again in their order."""
+    n = anchors.agg(F.count("*").alias("_n"))
+    own = ranges.numbered(rows, [], [F.col(order)], "_i").select(F.col(order).alias("id"), "_i")
+    places = own.select((F.col("_i") + F.floor(F.col("_i") / every)).alias("place"), F.lit("row").alias("kind"), "id")
+    gaps = own.where(F.pmod("_i", F.lit(every)) == every - 1).crossJoin(F.broadcast(n)).select(((F.col("_i") + 1) + F.floor(F.col("_i") / every)).alias("place"), F.pmod(F.floor(F.col("_i") / every), F.col("_n")).alias("_a"))
+    listed = ranges.numbered(anchors, [], [F.col(anchor_order)], "_a").select("_a", F.col(anchor_order).alias("id"))
+    return places.unionByName(gaps.join(listed, "_a").select("place", F.lit("anchor").alias("kind"), "id"))
 
 
 def pack(sizes: str, target: int, most: int) -> Column:
@@ -65,5 +84,5 @@ def pack(sizes: str, target: int, most: int) -> Column:
 
 def blocks(rows: DataFrame, key: str, order: str, tokens: str, size: int) -> DataFrame:
     """first_block and last_block of each row's tokens when a key's rows are laid end to end and cut in blocks of size."""
-    before = F.coalesce(F.sum(tokens).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_b", before).withColumn("first_block", F.floor(F.col("_b") / size)).withColumn("last_block", F.floor((F.col("_b") + F.greatest(F.col(tokens), F.lit(1)) - 1) / size)).drop("_b")
+    laid = ranges.running(rows, [key], [F.col(order)], F.col(tokens), "_b")
+    return laid.withColumn("first_block", F.floor(F.col("_b") / size)).withColumn("last_block", F.floor((F.col("_b") + F.greatest(F.col(tokens), F.lit(1)) - 1) / size)).drop("_b")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import stats
+from . import ranges
 
 
 def _n(c: str | Column) -> Column:
@@ -27,10 +27,12 @@ def overall(rows: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
-    """key, percent, value: the value at place round_half_even(p / 100 * (n - 1)) of the sorted values."""
-    p = rows.sparkSession.createDataFrame([(x,) for x in percents], "percent int")
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(W.partitionBy(key).orderBy(value)) - 1).alias("_i"), F.count("*").over(W.partitionBy(key)).alias("_n"))
-    return ranked.crossJoin(F.broadcast(p)).where(F.col("_i") == F.bround(F.col("percent") / 100 * (F.col("_n") - 1))).select(key, "percent", value)
+    """key, percent, value: the value at place round_half_even(p / 100 * (n - 1)) of the sorted values. Equal values are counted first, so what is ordered are the distinct ones."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    total = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_c").alias("_n"))
+    placed = ranges.running(counts, [key], [F.col(value)], F.col("_c"), "_i").join(total, F.col(key).eqNullSafe(F.col("_key")))
+    wanted = placed.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("_at", F.bround(F.col("percent") / 100 * (F.col("_n") - 1)))
+    return wanted.where((F.col("_at") >= F.col("_i")) & (F.col("_at") < F.col("_i") + F.col("_c"))).select(key, "percent", value)
 
 
 def banded(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import chunking, contamination, dedup, gates, joins, retrieval, sampling, scoring, voting
 from ..sources import io, scorers
 from ..streaming import appends
-from .derived import MCQ, ROLL, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
+from .derived import MCQ, ROLL, SAID, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,41 +37,84 @@ def _items(s, d):
 
 
 _W = r"string_split(trim(regexp_replace(lower({0}), '[ \t\n\r\f]+', ' ', 'g')), ' ')"
+#: Unicode's white space for RE2.
+_US = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _sw(text: str) -> str:
+    return f"list_filter(string_split(lower(trim(regexp_replace(regexp_replace({text}, '\\[[^\\]]*\\]', '', 'g'), '{_US}+', ' ', 'g'))), ' '), lambda x: x <> '')"
+
+
 _WORDS = f"dw AS (SELECT doc_id, list_filter({_W.format('text')}, lambda x: x <> '') AS w FROM documents), iw AS (SELECT item_id, list_filter({_W.format('text')}, lambda x: x <> '') AS w FROM benchmark)"
-_EDGES = f"""{_WORDS},
-ish AS (SELECT shingle, min(item_id) AS item_id FROM (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(w[i:i + 7], ' '))) AS shingle FROM iw) GROUP BY 1),
-dsh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(w[i:i + 7], ' '))) AS shingle FROM dw),
+_SWORDS = f"dw AS (SELECT doc_id, {_sw('text')} AS w FROM documents), iw AS (SELECT item_id, {_sw('text')} AS w FROM benchmark)"
+_GRAMS = "list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(w[i:i + 7], ' '))"
+_EDGES = f"""{_SWORDS},
+ish AS (SELECT shingle, min(item_id) AS item_id FROM (SELECT item_id, unnest({_GRAMS}) AS shingle FROM iw) GROUP BY 1),
+dsh AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS shingle FROM dw),
 edges AS (SELECT DISTINCT doc_id, item_id FROM dsh JOIN ish USING (shingle))"""
-_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
 _ALL = r"regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9.\-]{{2,}}')"
-_TERMS = f"list_distinct(list_filter({_ALL}, lambda x: NOT list_contains({_STOP}, x)))"
-_ITERMS = f"it AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark)"
+
+
+def _terms(text: str, stop: list[str] = T.RETRIEVAL_STOP) -> str:
+    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in stop)
+    return f"list_distinct(list_filter({_ALL.format(text)}, lambda x: NOT list_contains([{listed}], x)))"
+
+
+def _coverage(text: str) -> str:
+    return _terms(f"regexp_replace({text}, '\\[[^\\]]*\\]', ' ', 'g')", T.COVERAGE_STOP)
+
+
+_ITERMS = f"it AS (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark)"
 _WIN = f"""win0 AS (SELECT doc_id, w, unnest(range(0, len(w), 20)) AS start FROM (SELECT doc_id, list_filter({_W.format('text')}, lambda x: x <> '') AS w FROM documents)),
 win AS (SELECT doc_id, CAST(start AS INTEGER) AS start, doc_id * 1000000 + start AS win_id, array_to_string(w[start + 1:start + 40], ' ') AS text FROM win0 WHERE start = 0 OR len(w[start + 1:start + 40]) * 3 >= 40)"""
 
 
 # Contamination and coverage.
+def _tagged(d):
+    """Texts with tags, white space of other kinds and a change of case between their words; a scan must not see them."""
+    return d.withColumn("text", F.concat(F.lit("[Release 7] "), F.regexp_replace("text", "^([^ ]+) ", "$1 [see\u00a0 note] \u2003"), F.lit("\u3000[end]")))
+
+
 @query(f"WITH {_EDGES} SELECT item_id, count(*) AS n_records FROM edges GROUP BY 1")
 def c03_shingle_scan(s, d):
     return contamination.hits_by_item(contamination.scan(_docs(s, d), _items(s, d)))
 
 
+@query(f"WITH {_EDGES} SELECT item_id, count(*) AS n_records FROM edges GROUP BY 1")
+def c03_scan_of_tagged_texts(s, d):
+    """The same hits, though items and documents are full of tags."""
+    return contamination.hits_by_item(contamination.scan(_tagged(_docs(s, d)), _tagged(_items(s, d))))
+
+
+@query(f"WITH {_EDGES} SELECT item_id, count(*) AS n_records FROM edges GROUP BY 1")
+def c04_prefix_stripped_scan(s, d):
+    """Items under one boilerplate header; with it stripped the hits are those of the bare items."""
+    items = _items(s, d).withColumn("text", F.concat(F.lit("Answer the question about\nthe corpus in one word: "), "text"))
+    return contamination.hits_by_item(contamination.scan(_docs(s, d), contamination.without_prefix(items, "^Answer the question.*?in one word: ")))
+
+
 @query(f"WITH {_EDGES} SELECT (SELECT count(DISTINCT item_id) FROM edges) AS hit, count(*) AS total, round((SELECT count(DISTINCT item_id) FROM edges) / count(*), 6) AS frac, count(*) FILTER (len(w) < 8) AS too_short FROM iw")
 def c03_scan_summary(s, d):
     return contamination.scan_summary(contamination.scan(_docs(s, d), _items(s, d)), _items(s, d))
 
 
-@query(f"""WITH {_EDGES}, tails AS (SELECT item_id, array_to_string(w[len(w) - 7:], ' ') AS shingle, array_to_string(w, ' ') AS item FROM iw WHERE len(w) >= 8),
-m AS (SELECT item_id, contains(' ' || array_to_string(w, ' ') || ' ', ' ' || item || ' ') AS f FROM dsh JOIN tails USING (shingle) JOIN dw USING (doc_id))
-SELECT item_id, count(*) AS tail_hits, count(*) FILTER (f) AS full_hits FROM m GROUP BY 1""")
+def _gold(items):
+    """The gold of every other item are its first three words, else words that no text has."""
+    return items.withColumn("gold", F.when(F.col("item_id") % 2 == 0, F.array_join(F.slice(T.scan_words(F.col("text")), 1, 3), " ")).otherwise(F.concat(F.lit("no such words "), F.col("item_id").cast("string"))))
+
+
+@query(f"""WITH {_EDGES}, tails AS (SELECT item_id, array_to_string(w[len(w) - 7:], ' ') AS shingle, array_to_string(w, ' ') AS item,
+    CASE WHEN item_id % 2 = 0 THEN array_to_string(w[1:3], ' ') ELSE 'no such words ' || CAST(item_id AS VARCHAR) END AS gold FROM iw WHERE len(w) >= 8),
+m AS (SELECT item_id, contains(array_to_string(w, ' '), item) AS f, contains(array_to_string(w, ' '), gold) AS g FROM dsh JOIN tails USING (shingle) JOIN dw USING (doc_id))
+SELECT item_id, count(*) AS tail_hits, count(*) FILTER (f) AS full_hits, count(*) FILTER (f AND g) AS gold_hits FROM m GROUP BY 1""")
 def c05_tail_verify_tiers(s, d):
-    return contamination.tail_tiers(_docs(s, d), _items(s, d))
+    return contamination.tail_tiers(_tagged(_docs(s, d)), _gold(_items(s, d)))
 
 
-@query(f"""WITH {_WORDS}, k AS (SELECT array_to_string(w, ' ') AS t FROM iw UNION SELECT array_to_string(w[greatest(1, len(w) - 7):], ' ') FROM iw WHERE len(w) >= 8)
+@query(f"""WITH {_SWORDS}, k AS (SELECT array_to_string(w, ' ') AS t FROM iw UNION SELECT array_to_string(w[greatest(1, len(w) - 7):], ' ') FROM iw WHERE len(w) >= 8)
 SELECT DISTINCT doc_id FROM dw WHERE array_to_string(w, ' ') IN (SELECT t FROM k) OR array_to_string(w[greatest(1, len(w) - 7):], ' ') IN (SELECT t FROM k)""")
 def c06_copy_check(s, d):
-    return contamination.copy_check(_docs(s, d), _items(s, d))
+    return contamination.copy_check(_docs(s, d), _tagged(_items(s, d)))
 
 
 @query(f"WITH {_WORDS} SELECT doc_id FROM dw WHERE array_to_string(w[greatest(1, len(w) - 5):], ' ') NOT IN (SELECT array_to_string(w[greatest(1, len(w) - 5):], ' ') FROM iw)")
@@ -79,42 +122,51 @@ def c07_tail_guard(s, d):
     return contamination.without_tails(_docs(s, d), _items(s, d), 6).select("doc_id")
 
 
-def _coverage_sql(units: str, unit: str, terms: str) -> str:
-    return f"""ut AS (SELECT {unit}, unnest({_TERMS.format('text')}) AS term FROM {units}), nt AS (SELECT item_id, count(*) AS n_terms FROM {terms} GROUP BY 1),
+def _coverage_sql(units: str, unit: str, terms: str, of) -> str:
+    return f"""ut AS (SELECT {unit}, unnest({of('text')}) AS term FROM {units}), nt AS (SELECT item_id, count(*) AS n_terms FROM {terms} GROUP BY 1),
 sh AS (SELECT item_id, {unit}, count(*) AS n FROM ut JOIN {terms} USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, {unit}) AS k FROM sh),
 cov AS (SELECT nt.item_id, n_terms, round(coalesce(n, 0) / n_terms, 6) AS coverage, {unit} AS best FROM nt LEFT JOIN r ON nt.item_id = r.item_id AND k = 1)"""
 
 
-_RARE = f"{_ITERMS}, rare AS (SELECT it.* FROM it JOIN (SELECT term FROM it GROUP BY 1 HAVING count(*) <= 2) USING (term))"
+def _contained(text: str) -> str:
+    return _terms(text, T.CONTAINMENT_STOP)
+
 
+def _containment(c):
+    return T.content_terms(c, T.CONTAINMENT_STOP)
 
-@query(f"WITH {_RARE}, {_coverage_sql('documents', 'doc_id', 'rare')} SELECT * FROM cov")
+
+_RARE = f"ct AS (SELECT item_id, unnest({_coverage('text')}) AS term FROM benchmark), rare AS (SELECT ct.* FROM ct JOIN (SELECT term FROM ct GROUP BY 1 HAVING count(*) <= 2) USING (term))"
+_CTERMS = f"ct AS (SELECT item_id, unnest({_contained('text')}) AS term FROM benchmark)"
+
+
+@query(f"WITH {_RARE}, {_coverage_sql('documents', 'doc_id', 'rare', _coverage)} SELECT * FROM cov")
 def c09_rare_term_coverage(s, d):
     return contamination.best_coverage(_docs(s, d), "doc_id", contamination.rare_terms(_items(s, d), 2))
 
 
-@query(f"""WITH {_RARE}, {_coverage_sql('documents', 'doc_id', 'rare')} SELECT count(*) AS items, count(*) FILTER (coverage = 1) AS "full", count(*) FILTER (coverage >= 0.8) AS ge80,
+@query(f"""WITH {_RARE}, {_coverage_sql('documents', 'doc_id', 'rare', _coverage)} SELECT count(*) AS items, count(*) FILTER (coverage = 1) AS "full", count(*) FILTER (coverage >= 0.8) AS ge80,
 count(*) FILTER (coverage >= 0.5) AS ge50, count(*) FILTER (coverage < 0.2) AS lt20, round(avg(coverage), 6) AS mean FROM cov""")
 def c09_coverage_buckets(s, d):
     return contamination.coverage_buckets(c09_rare_term_coverage(s, d))
 
 
-@query(f"WITH {_ITERMS}, {_coverage_sql('documents', 'doc_id', 'it')} SELECT * FROM cov")
+@query(f"WITH {_CTERMS}, {_coverage_sql('documents', 'doc_id', 'ct', _contained)} SELECT * FROM cov")
 def c10_doc_containment(s, d):
-    return contamination.best_coverage(_docs(s, d), "doc_id", contamination.item_terms(_items(s, d)))
+    return contamination.best_coverage(_docs(s, d), "doc_id", contamination.item_terms(_items(s, d), _containment), _containment)
 
 
-@query(f"WITH {_ITERMS}, {_WIN}, {_coverage_sql('win', 'win_id', 'it')} SELECT * FROM cov")
+@query(f"WITH {_CTERMS}, {_WIN}, {_coverage_sql('win', 'win_id', 'ct', _contained)} SELECT * FROM cov")
 def c11_window_containment(s, d):
-    return contamination.best_coverage(contamination.windows(_docs(s, d)), "win_id", contamination.item_terms(_items(s, d)))
+    return contamination.window_coverage(_docs(s, d), contamination.item_terms(_items(s, d), _containment))
 
 
-@query(f"""WITH {_RARE}, ut AS (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents), n AS (SELECT item_id, count(*) AS n FROM rare GROUP BY 1),
+@query(f"""WITH {_RARE}, ut AS (SELECT doc_id, unnest({_coverage('text')}) AS term FROM documents), n AS (SELECT item_id, count(*) AS n FROM rare GROUP BY 1),
 h AS (SELECT item_id, doc_id FROM ut JOIN rare USING (term) JOIN n USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*) >= 0.6 * n) SELECT doc_id, count(*) AS explains FROM h GROUP BY 1""")
 def c13_errors_to_documents(s, d):
     terms = contamination.rare_terms(_items(s, d), 2)
     n = terms.groupBy("item_id").agg(F.count("*").alias("n"))
-    own = _docs(s, d).select("doc_id", F.explode(T.content_terms(F.col("text"))).alias("term"))
+    own = _docs(s, d).select("doc_id", F.explode(T.coverage_terms(F.col("text"))).alias("term"))
     hit = own.join(contamination.small(terms), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("h")).join(contamination.small(n), "item_id").where("h >= 0.6 * n")
     return hit.groupBy("doc_id").agg(F.count("*").alias("explains"))
 
@@ -132,16 +184,17 @@ def r01_bm25_top20(s, d):
     return retrieval.bm25(_docs(s, d), _items(s, d))
 
 
-@query(f"""WITH {_BM25}, {_WIN}, sw AS (SELECT * FROM win WHERE doc_id IN (SELECT doc_id FROM bm)), hv AS (SELECT doc_id, win_id, unnest({_TERMS.format('text')}) AS term FROM sw),
+@query(f"""WITH {_BM25}, {_WIN}, sw AS (SELECT * FROM win WHERE doc_id IN (SELECT doc_id FROM bm)), hv AS (SELECT doc_id, win_id, unnest({_terms('text')}) AS term FROM sw),
 widf AS (SELECT term, ln(1 + ((SELECT count(*) FROM sw) - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM hv GROUP BY 1)),
-ws AS (SELECT bm.item_id, win_id, round(sum(idf), 6) AS score FROM hv JOIN widf USING (term) JOIN it USING (term) JOIN bm ON bm.item_id = it.item_id AND bm.doc_id = hv.doc_id GROUP BY ALL)
-SELECT item_id, win_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, win_id) AS INTEGER) AS rank FROM ws QUALIFY rank <= 8""")
+ws AS (SELECT bm.item_id, win_id, round(sum(idf), 6) AS score FROM hv JOIN widf USING (term) JOIN it USING (term) JOIN bm ON bm.item_id = it.item_id AND bm.doc_id = hv.doc_id GROUP BY ALL),
+wr AS (SELECT ws.*, substr(text, 1, 120) AS b FROM ws JOIN win USING (win_id)), wd AS (SELECT * FROM wr QUALIFY row_number() OVER (PARTITION BY item_id, b ORDER BY score DESC, win_id) = 1)
+SELECT item_id, win_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, win_id) AS INTEGER) AS rank FROM wd QUALIFY rank <= 8""")
 def r02_window_rescore(s, d):
     return retrieval.rescored_windows(contamination.windows(_docs(s, d)), r01_bm25_top20(s, d), _items(s, d), 8)
 
 
-@query(f"""WITH {_BM25}, c AS (SELECT item_id, {_TERMS.format("text")} AS c FROM (SELECT item_id, string_agg(text, ' ') AS text FROM bm JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1)),
-g AS (SELECT item_id, {_TERMS.format('text')} AS g FROM benchmark) SELECT item_id, coalesce(len(g) > 0 AND len(list_intersect(g, c)) >= 0.8 * len(g), false) AS found FROM g LEFT JOIN c USING (item_id)""")
+@query(f"""WITH {_BM25}, c AS (SELECT item_id, {_terms("text")} AS c FROM (SELECT item_id, string_agg(text, ' ') AS text FROM bm JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1)),
+g AS (SELECT item_id, {_terms('text')} AS g FROM benchmark) SELECT item_id, coalesce(len(g) > 0 AND len(list_intersect(g, c)) >= 0.8 * len(g), false) AS found FROM g LEFT JOIN c USING (item_id)""")
 def r03_answer_in_ctx(s, d):
     best = r01_bm25_top20(s, d).where("rank <= 3").join(_docs(s, d).select("doc_id", "text"), "doc_id")
     context = best.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("text"))
@@ -157,7 +210,7 @@ def r07_dense_top_k(s, d):
     return retrieval.dense_rerank(e, e.where("vec_id % 50 = 0"))
 
 
-@query(f"""WITH {_ITERMS}, o AS (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents), idf AS (SELECT term, pow(ln((SELECT count(*) FROM documents) / count(*)), 2) AS w FROM o GROUP BY 1 HAVING count(*) < 0.2 * (SELECT count(*) FROM documents)),
+@query(f"""WITH {_ITERMS}, o AS (SELECT doc_id, unnest({_terms('text')}) AS term FROM documents), idf AS (SELECT term, pow(ln((SELECT count(*) FROM documents) / count(*)), 2) AS w FROM o GROUP BY 1 HAVING count(*) < 0.2 * (SELECT count(*) FROM documents)),
 dn AS (SELECT doc_id, sqrt(sum(w)) AS dn FROM o JOIN idf USING (term) GROUP BY 1), q AS (SELECT * FROM it JOIN idf USING (term)), qn AS (SELECT item_id, sqrt(sum(w)) AS qn FROM q GROUP BY 1),
 sc AS (SELECT item_id, doc_id, round(sum(w) / (any_value(dn) * any_value(qn)), 6) AS score FROM o JOIN q USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY ALL)
 SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""")
@@ -166,28 +219,23 @@ def r08_idf_cosine(s, d):
 
 
 # Parsing and projections.
-_SAID = f"""{MCQ}, {sql_run('base')}, comp AS (SELECT *, CASE {sql_byte("'c|' || sample_id")} % 5 WHEN 0 THEN 'ANSWER: ' || chr(65 + predicted) WHEN 1 THEN 'ANSWER: A' || chr(10) || 'some reasoning' || chr(10) || 'ANSWER: ' || chr(65 + predicted)
-WHEN 2 THEN 'so the ANSWER: ' || chr(65 + predicted) || '.' WHEN 3 THEN chr(65 + predicted) || ') because' ELSE '' END AS completion, {sql_byte("'c|' || sample_id")} % 5 AS way FROM base)"""
-
-
-@query(f"WITH {_SAID} SELECT sample_id, CASE WHEN way = 4 THEN '' ELSE chr(65 + predicted) END AS lenient, CASE WHEN way >= 3 THEN '' ELSE chr(65 + predicted) END AS official FROM comp")
+@query(f"WITH {SAID} SELECT sample_id, lenient, official FROM comp")
 def p10_parse_answer(s, d):
     c = completions(s, d)
     n = F.size("choices")
     return c.select("sample_id", T.parse_letter(F.col("completion"), n).alias("lenient"), T.parse_letter(F.col("completion"), n, bare=False).alias("official"))
 
 
-@query(f"WITH {_SAID} SELECT count(*) AS total, count(*) FILTER (way <> 4 AND predicted = answer) AS lenient_right, count(*) FILTER (way < 3 AND predicted = answer) AS official_right, count(*) FILTER (way = 3) AS bare_only FROM comp")
+@query(f"WITH {SAID} SELECT count(*) AS total, count(*) FILTER (lenient = chr(65 + answer)) AS lenient_right, count(*) FILTER (official = chr(65 + answer)) AS official_right, count(*) FILTER (lenient <> '' AND official = '') AS bare_only FROM comp")
 def x09_parser_audit(s, d):
     c = completions(s, d).select("sample_id", "answer").join(p10_parse_answer(s, d), "sample_id")
     gold = T.letter(F.col("answer"))
     return c.agg(F.count("*").alias("total"), F.count_if(F.col("lenient") == gold).alias("lenient_right"), F.count_if(F.col("official") == gold).alias("official_right"), F.count_if((F.col("lenient") != "") & (F.col("official") == "")).alias("bare_only"))
 
 
-@query(f"WITH {_SAID} SELECT sample_id, CASE WHEN way = 4 THEN '' ELSE chr(65 + predicted) END AS recovered FROM comp")
+@query(f"WITH {SAID} SELECT sample_id, recovered FROM comp")
 def p12_recover_answer(s, d):
-    c = completions(s, d).withColumn("last", F.element_at(F.split("completion", "\n"), -1))
-    return c.select("sample_id", T.recover_letter(F.col("last")).alias("recovered"))
+    return completions(s, d).select("sample_id", T.recover_letter(F.col("completion")).alias("recovered"))
 
 
 @query(f"WITH {MCQ} SELECT sample_id, 'Answer with one of A,B,C,D.' || chr(10) || chr(10) || 'Which one?' || chr(10) || 'A) ' || choices[1] || chr(10) || 'B) ' || choices[2] || chr(10) || 'C) ' || choices[3] || chr(10) || 'D) ' || choices[4] AS prompt FROM mcq")
@@ -316,17 +364,19 @@ def w13_block_packing(s, d):
     return dedup.blocks(_docs(s, d).select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 4096).select("doc_id", "first_block", "last_block")
 
 
-@query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n, count(*) OVER () AS c FROM benchmark), r AS (SELECT *, unnest(range(100)) AS round FROM p) SELECT item_id, CAST(item_id AS VARCHAR) || '#' || CAST(round AS VARCHAR) AS row_id FROM r WHERE round * c + n <= 130")
+@query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n, count(*) OVER () AS c FROM benchmark), r AS (SELECT *, unnest(range(10)) AS round FROM p) SELECT item_id, CAST(item_id AS VARCHAR) || '#' || CAST(round AS VARCHAR) AS row_id FROM r WHERE round * c + n <= floor(c * 3.25)")
 def w14_cycle_pool(s, d):
-    return dedup.cycle(_items(s, d).select("item_id"), "item_id", 130).select("item_id", "row_id")
+    return dedup.cycle(_items(s, d).select("item_id"), "item_id", 3.25).select("item_id", "row_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BM25}, p AS (SELECT item_id, doc_id, rank, n_chars FROM bm JOIN documents USING (doc_id)),
+f AS (SELECT item_id, 0 AS rank, CAST(6000 AS BIGINT) AS "left", CAST(NULL AS BIGINT) AS doc_id, false AS taken FROM (SELECT DISTINCT item_id FROM p)
+      UNION ALL SELECT p.item_id, p.rank, CASE WHEN p.n_chars <= f."left" THEN f."left" - p.n_chars ELSE f."left" END, p.doc_id, p.n_chars <= f."left" FROM f JOIN p ON p.item_id = f.item_id AND p.rank = f.rank + 1)
+SELECT item_id, doc_id, rank FROM f WHERE taken""")
 def w17_budget_skip(s, d):
-    """Documents of a source that fit 20,000 characters one after another, by id, skipping those that overflow."""
-    g = _docs(s, d).select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("x"))
-    g = g.withColumn("sizes", F.transform("x", lambda r: r["n_chars"])).withColumn("taken", dedup.budget_skip("sizes", 20000))
-    return g.select("source", F.explode("taken").alias("i"), "x").select("source", F.col("x")[F.col("i")]["doc_id"].alias("doc_id"))
+    """An item's best documents that fit 6,000 characters one after another, skipping those that overflow."""
+    pool = r01_bm25_top20(s, d).select("item_id", "doc_id", "rank").join(_docs(s, d).select("doc_id", F.col("n_chars").cast("long").alias("n_chars")), "doc_id")
+    return dedup.budget_skip(pool, "item_id", "rank", "n_chars", 6000).select("item_id", "doc_id", "rank")
 
 
 # Sampling and splits.
@@ -387,7 +437,7 @@ def a16_contradictions(s, d):
     return scoring.contradictions(mcq(s, d), F.concat(F.col("choices")[0], F.lit("|"), F.col("choices")[2]), "answer")
 
 
-@query(f"SELECT term, count(*) AS df FROM (SELECT unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY 1 ORDER BY df DESC, term LIMIT 50")
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest({_terms('text')}) AS term FROM documents) GROUP BY 1 ORDER BY df DESC, term LIMIT 50")
 def a17_vocab_top(s, d):
     return scoring.vocabulary(_docs(s, d), T.content_terms(F.col("text")), 50)
 
@@ -560,11 +610,11 @@ def j13_jaccard_pairs(s, d):
     return p.where("jaccard >= 0.05").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("""WITH a AS (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, toxic AS v FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH a AS (SELECT doc_id, quality + 10 AS v FROM labels WHERE quality = 1), b AS (SELECT doc_id, toxic + 20 AS v FROM labels WHERE toxic = 1 OR quality = 0)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.v, a.v) AS v, CASE WHEN b.doc_id IS NULL THEN 'a' WHEN a.doc_id IS NULL THEN 'b' ELSE 'both' END AS origin FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def j14_full_merge(s, d):
     t = read(s, d, "labels")
-    return joins.full_merge(t.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("v")), t.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    return joins.full_merge(t.where("quality = 1").select("doc_id", (F.col("quality") + 10).alias("v")), t.where("toxic = 1 OR quality = 0").select("doc_id", (F.col("toxic") + 20).alias("v")), "doc_id", "v")
 
 
 @query(f"WITH {_RUNS}, r AS (SELECT * FROM armx WHERE answer = 0) SELECT base.sample_id, coalesce(r.predicted, base.predicted) AS predicted, coalesce(r.correct, base.correct) AS correct FROM base LEFT JOIN r USING (sample_id)")
@@ -585,21 +635,18 @@ def u05_partition_check(s, d):
 
 
 # Incremental and streams.
-@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 2 = 0 AND event_type <> 'error')")
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'view' AND value IS NOT NULL)")
 def s14_resume_append(s, d):
+    """Of all events those that are views, or that failed (have no value), are still to do."""
     e = read(s, d, "events")
-    done = e.where("user_id % 2 = 0").select("event_id", F.when(F.col("event_type") == "error", "failed").alias("error"))
+    done = e.where("event_type <> 'view'").select("event_id", F.when(F.col("value").isNull(), "failed").alias("error"))
     return joins.resume(e, done, "event_id").select("event_id")
 
 
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def i01_stream_dedup(s, d):
-    import uuid
-
-    name = f"events_{uuid.uuid4().hex[:8]}"
-    place = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
     once = appends.deduplicated(appends.read_events(s, d)).select("event_id", "event_type")
-    return appends.run_to_end(once, name, "append", f"{place.rstrip('/')}/{name}").groupBy("event_type").agg(F.count("*").alias("n"))
+    return appends.run_to_end(once, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, max_by(event_id, (ts, event_id)) AS last_id, count(*) AS n FROM events GROUP BY 1")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis, contamination, dedup, scoring, voting
-from .catalog import _BM25, _EDGES, _ITERMS, _RUNS, _SAID, _VOTE, _W, _docs, _items, p10_parse_answer, p12_recover_answer, p23_token_f1, query, r01_bm25_top20
+from .catalog import _BM25, _EDGES, _ITERMS, _RUNS, _VOTE, _W, _docs, _items, _terms, p10_parse_answer, p12_recover_answer, p23_token_f1, query, r01_bm25_top20
 from .catalog import ORACLES as _SQL
-from .derived import MCQ, ROLL, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
+from .derived import MCQ, ROLL, SAID, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
 
 _A3 = f"{_RUNS}, j AS (SELECT a.sample_id, a.subject, a.answer, a.choices, a.predicted AS pa, b.predicted AS pb, c.predicted AS pc, a.correct AS ca, b.correct AS cb, c.correct AS cc FROM base a JOIN armx b USING (sample_id) JOIN army c USING (sample_id))"
 
@@ -132,9 +132,9 @@ def j18_derangement(s, d):
     return analysis.deranged(mcq(s, d), "subject", "sample_id", "other")
 
 
-@query(f"WITH {_EDGES}, near AS (SELECT doc_id FROM edges WHERE item_id IN (SELECT item_id FROM edges WHERE doc_id % 3 = 0)) SELECT DISTINCT doc_id FROM edges WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM near)")
+@query(f"WITH {_EDGES}, near AS (SELECT doc_id FROM edges WHERE item_id IN (SELECT item_id FROM edges WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de'))) SELECT DISTINCT doc_id FROM edges WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') AND doc_id NOT IN (SELECT doc_id FROM near)")
 def j19_untouched(s, d):
-    return analysis.untouched(contamination.scan(_docs(s, d), _items(s, d)), "doc_id", "item_id", _docs(s, d).where("doc_id % 3 = 0").select("doc_id"))
+    return analysis.untouched(contamination.scan(_docs(s, d), _items(s, d)), "doc_id", "item_id", _docs(s, d).where("lang = 'de'").select("doc_id"))
 
 
 @query(f"""WITH {_A3}, u AS (SELECT sample_id, unnest(['base', 'armx', 'army']) AS best, unnest([{sql_h("'cbase'", 'sample_id')}, {sql_h("'carmx'", 'sample_id')}, {sql_h("'carmy'", 'sample_id')}]) AS c FROM j)
@@ -165,13 +165,13 @@ def g22_item_parse(s, d):
     return analysis.parsed_items(mcq(s, d).select("sample_id", text.alias("text"))).select("sample_id", F.array_join("options", "|").alias("options"), "gold")
 
 
-@query(f"WITH {_SAID} SELECT sample_id, round(CAST(way <> 4 AND predicted = answer AS INT)::DOUBLE + 0.05::DOUBLE * CAST(way <> 4 AS INT), 2) AS reward FROM comp")
+@query(f"WITH {SAID} SELECT sample_id, round(CAST(lenient = chr(65 + answer) AS INT)::DOUBLE + 0.05::DOUBLE * CAST(lenient <> '' AS INT), 2) AS reward FROM comp")
 def m10_reward(s, d):
     c = completions(s, d).select("sample_id", "answer").join(p10_parse_answer(s, d), "sample_id")
     return c.select("sample_id", analysis.reward(F.col("lenient"), T.letter(F.col("answer"))).alias("reward"))
 
 
-@query(f"WITH {_SAID}, c AS (SELECT length(completion) AS n, CASE WHEN way = 4 THEN 'unparsed' WHEN predicted = answer THEN 'right' ELSE 'wrong' END AS outcome FROM comp) SELECT outcome, count(*) AS total, round(avg(n), 6) AS mean_length FROM c GROUP BY 1")
+@query(f"WITH {SAID}, c AS (SELECT length(completion) AS n, CASE WHEN lenient = '' THEN 'unparsed' WHEN lenient = chr(65 + answer) THEN 'right' ELSE 'wrong' END AS outcome FROM comp) SELECT outcome, count(*) AS total, round(avg(n), 6) AS mean_length FROM c GROUP BY 1")
 def a26_length_by_outcome(s, d):
     c = completions(s, d).select("sample_id", "answer", F.length("completion").alias("n")).join(p10_parse_answer(s, d), "sample_id")
     kind = F.when(F.col("lenient") == "", "unparsed").when(F.col("lenient") == T.letter(F.col("answer")), "right").otherwise("wrong")
@@ -213,7 +213,7 @@ SELECT doc_id, item_id, round(count(*) FILTER (contains(t, term)) / count(*), 6)
 def r10_support(s, d):
     """Share of an item's terms that a document it touches has as a substring."""
     docs = _docs(s, d).select("doc_id", F.lower("text").alias("t"))
-    terms = _items(s, d).select("item_id", F.array_distinct(T.content_terms(F.col("text"))).alias("terms")).where("size(terms) > 0")
+    terms = _items(s, d).select("item_id", T.content_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
     j = contamination.scan(_docs(s, d), _items(s, d)).join(docs, "doc_id").join(contamination.small(terms), "item_id")
     return j.select("doc_id", "item_id", F.round(F.expr("size(filter(terms, x -> contains(t, x))) / size(terms)"), 6).alias("support"))
 

@@ -65,7 +65,9 @@ def append_missing(todo: DataFrame, path: str, on: str, schema: T.StructType) ->
 
 def shard(df: DataFrame, order: str, n: int, k: int) -> DataFrame:
     """Every n-th row from the k-th on, by declared order."""
-    return df.withColumn("_i", F.row_number().over(W.orderBy(order)) - 1).where(F.pmod("_i", F.lit(n)) == k).drop("_i")
+    from ..operators import ranges
+
+    return ranges.numbered(df, [], [F.col(order)], "_i").where(F.pmod("_i", F.lit(n)) == k).drop("_i")
 
 
 def tiling(shards: DataFrame) -> DataFrame:
