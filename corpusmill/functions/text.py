@@ -96,6 +96,11 @@ def plain_words(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(c), r"[ \t\n\r\f]+"), "")
 
 
+def words(c: Column) -> Column:
+    """Words between any white space, case kept."""
+    return F.array_remove(F.split(norm_ws(c), " "), "")
+
+
 def shingles(words: str, k: int) -> Column:
     """Runs of k words of the array column, space-joined, repeats included; none if there are fewer words."""
     return F.expr(f"CASE WHEN size({words}) < {k} THEN array() ELSE transform(sequence(1, size({words}) - {k - 1}), i -> array_join(slice({words}, i, {k}), ' ')) END")
@@ -173,6 +178,69 @@ def recover_letter(completion: Column) -> Column:
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(completion, p, 1), F.lit("")) for p in RECOVERY], F.lit("")))
 
 
+#: A shorter contract: letters A to E only, at a line's begin or anywhere after the marker.
+KIT_STRICT = rf"(?Uimd)^ANSWER{SPACE}*:{SPACE}*([A-E]){SPACE}*(?:$|\n|\.)"
+KIT_LOOSE = rf"(?Ui)ANSWER{SPACE}*:{SPACE}*([A-E])"
+KIT_ABSTAIN = rf"(?U)ANSWER{SPACE}*:{SPACE}*\**{SPACE}*([A-EX])\b"
+
+
+def parse_kit(completion: Column, n: Column) -> Column:
+    """0-based place of the last letter of the shorter contract, -1 if there is none among the first n."""
+    text = F.coalesce(completion, F.lit(""))
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+    found = F.ascii(F.upper(F.coalesce(last(KIT_STRICT), last(KIT_LOOSE)))) - 65
+    return F.when(found.between(0, n - 1), found).otherwise(-1)
+
+
+def parse_abstaining(completion: Column) -> Column:
+    """The last letter A to E, or X for an abstention; ? if there is none."""
+    found = F.regexp_extract_all(F.upper(F.coalesce(completion, F.lit(""))), F.lit(KIT_ABSTAIN), F.lit(1))
+    return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("?"))
+
+
+#: Buckets of provenance, in the order in which they are tried.
+BUCKETS = [("3gpp", r"(?Ui)\[3gpp\b|\brelease\s+\d{1,2}\b"), ("ieee", r"(?Ui)\[ieee\b|\b802\.\d"), ("tcpip", r"(?Ui)\[tcp/ip\]|\brfc\s*\d+")]
+
+
+def bucket(question: Column) -> Column:
+    out = F
+    for name, pattern in BUCKETS:
+        out = out.when(question.rlike(pattern), F.lit(name))
+    return out.otherwise("untagged")
+
+
+def last_tag(question: Column) -> Column:
+    """3GPP, IEEE and the standard's name, or the first 24 characters of a question's last [tag]; "(no tag)" without one."""
+    tag = F.try_element_at(F.regexp_extract_all(question, F.lit(r"\[([^\]]+)\]"), F.lit(1)), F.lit(-1))
+    named = F.when(tag.contains("Release") | tag.contains("3GPP"), "3GPP").when(tag.contains("IEEE"), F.concat(F.lit("IEEE "), F.element_at(F.split(F.trim(tag), r"\s+"), -1)))
+    return F.coalesce(named.otherwise(F.substring(tag, 1, 24)), F.lit("(no tag)"))
+
+
+def release(question: Column) -> Column:
+    """The release number of a [3GPP Release N] tag; null without one."""
+    found = F.regexp_extract(question, r"\[3GPP Release (\d+)\]", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def giveaway(explanation: Column, gold: Column, distractors: Column, stop: list[str] = CEILING_STOP) -> tuple[Column, Column]:
+    """Share of the gold's terms that the explanation has, and how much that is above the best distractor's; 0 and 0 if the gold has no terms."""
+    e, g = content_terms(explanation, stop), content_terms(gold, stop)
+    share = lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, e)) / F.size(x)).otherwise(0.0)
+    best = F.greatest(F.lit(0.0), F.array_max(F.transform(distractors, lambda d: share(content_terms(d, stop)))))
+    none = F.size(g) == 0
+    return F.when(none, 0.0).otherwise(F.bround(share(g), 4)), F.when(none, 0.0).otherwise(F.bround(share(g) - best, 4))
+
+
+def span_prefix(text: Column, span: Column, least: int = 15) -> Column:
+    """What stands before the span's first place, from the last sentence's or line's end on; null if the span isn't there or that is shorter than least."""
+    at = F.instr(F.lower(text), F.lower(span))
+    before = F.substr(text, F.lit(1), at - 1)
+    stop, feed = F.instr(F.reverse(before), " ."), F.instr(F.reverse(before), "\n")
+    start = F.greatest(F.lit(1), F.when(stop > 0, F.length(before) - stop + 1), F.when(feed > 0, F.length(before) - feed + 2))
+    found = F.regexp_replace(F.substr(before, start), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.when((at > 0) & (F.length(found) >= least), found)
+
+
 def letter(index: Column) -> Column:
     return F.chr(index + 65)
 

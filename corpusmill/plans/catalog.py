@@ -249,12 +249,6 @@ def p15_rotate_choices(s, d):
     return q.select("sample_id", "shift", F.array_join(T.rotate_left("choices", "shift"), "|").alias("rotated"), F.expr("pmod(answer - shift, size(choices))").alias("answer"))
 
 
-@query(f"WITH {MCQ}, {ROLL} SELECT sample_id, k, (predicted + k % 4) % 4 AS shown, predicted AS original FROM roll")
-def p16_unrotate_vote(s, d):
-    r = rollouts(s, d).withColumn("shown", F.expr("(predicted + k % 4) % 4"))
-    return r.select("sample_id", "k", "shown", F.expr("pmod(shown - k % 4, 4)").alias("original"))
-
-
 @query(f"WITH {MCQ} SELECT sample_id, round({sql_h("'keep'", 'sample_id')}, 12) AS draw, {sql_byte('sample_id')} AS byte0 FROM mcq")
 def p17_hash_draw(s, d):
     return mcq(s, d).select("sample_id", F.round(T.h01("keep", F.col("sample_id")), 12).alias("draw"), T.sha_byte(F.col("sample_id")).alias("byte0"))
@@ -289,11 +283,6 @@ def p07_norm_tokens(s, d):
     return _docs(s, d).select("doc_id", T.norm_tokens(F.col("text")).alias("tokens"), F.round(F.size(T.plain_words(F.col("text"))) * 1.35, 4).alias("token_estimate"))
 
 
-@query()
-def p06_norm_nfkc(s, d):
-    return _docs(s, d).select("doc_id", T.norm_nfkc(F.col("text")).alias("text"))
-
-
 # Gates.
 _MC = "regexp_matches(text, '[#$%&*]{3}')"
 
@@ -352,13 +341,6 @@ def w11_budget_pick(s, d):
     return dedup.budget_prefix(_docs(s, d).select("doc_id", "source", "n_chars"), "source", "n_chars", "doc_id", "n_chars", 50000).select("doc_id")
 
 
-@query()
-def w12_pack(s, d):
-    """Lines of documents as sections, packed to chunks of about 100 words."""
-    lines = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "text"))
-    return chunking.packed(lines, 100, 160).select("doc_id", "chunk", "words")
-
-
 @query("WITH t AS (SELECT doc_id, source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) SELECT doc_id, CAST(floor(b / 4096) AS BIGINT) AS first_block, CAST(floor((b + greatest(n_chars, 1) - 1) / 4096) AS BIGINT) AS last_block FROM t")
 def w13_block_packing(s, d):
     return dedup.blocks(_docs(s, d).select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 4096).select("doc_id", "first_block", "last_block")
@@ -574,16 +556,6 @@ def k05_windows(s, d):
     return contamination.windows(_docs(s, d))
 
 
-@query()
-def k01_sections(s, d):
-    """Page headings as markdown, then sections with their heading trail."""
-    p = read(s, d, "pages")
-    md = F.regexp_replace(F.regexp_replace("html", r"(?is)<h([1-4])[^>]*>(.*?)</h\1>", "\n#H$1 $2\n"), r"(?s)<(script|style)[^>]*>.*?</\1>|<[^>]*>", "\n")
-    for n in range(1, 5):
-        md = F.regexp_replace(md, f"#H{n} ", "#" * n + " ")
-    return chunking.sections(p.select(F.col("page_id").alias("doc_id"), md.alias("text")))
-
-
 # Joins and sets.
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def j04_semi(s, d):

@@ -84,9 +84,10 @@ def without_sources(store: DataFrame, prefixes: list[str], extra: DataFrame | No
     return kept.unionByName(extra) if extra is not None else kept
 
 
-def checksums(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """name, ok: files against a manifest of name and sha256."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("have"))
+def checksums(spark: SparkSession, path: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
+    """name, ok: files against a manifest of name and sha256; name: of the column path, the file's name if not given."""
+    found = F.element_at(F.split("path", "/"), -1) if name is None else name
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").load(path).select(found.alias("name"), F.sha2("content", 256).alias("have"))
     return manifest.join(files, "name", "left").select("name", F.coalesce(F.col("have") == F.col("sha256"), F.lit(False)).alias("ok"))
 
 
@@ -95,3 +96,19 @@ def answer_key(results: DataFrame, splits: DataFrame, share: float = 0.99) -> Da
     n = results.select("sample_id").distinct().agg(F.count("*").alias("n"))
     hits = splits.select("split", "sample_id").distinct().join(results.select("sample_id").distinct(), "sample_id").groupBy("split").agg(F.count("*").alias("hits"))
     return hits.crossJoin(F.broadcast(n)).select("split", F.round(F.col("hits") / F.col("n"), 6).alias("covered")).where(F.col("covered") >= share).orderBy(F.desc("covered"), "split").limit(1)
+
+
+def write_token_blocks(rows: DataFrame, path: str, key: str, order: str, tokens: str, size: int) -> None:
+    """Writes key, block, tokens: each key's tokens end to end in order, cut in blocks of size; a last one that isn't full goes.
+
+    A row's part of a block is found from the running sum of lengths, so no task holds more than the rows of its blocks.
+    """
+    from ..operators import ranges
+
+    laid = ranges.running(rows.withColumn("_n", F.size(tokens)), [key], [F.col(order)], F.col("_n"), "_b").where("_n > 0")
+    cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("_b") / size), F.floor((F.col("_b") + F.col("_n") - 1) / size))))
+    first = F.greatest(F.lit(0).cast("long"), F.col("block") * size - F.col("_b"))
+    last = F.least(F.col("_n").cast("long"), (F.col("block") + 1) * size - F.col("_b"))
+    part = cut.select(key, "block", F.struct(F.col("_b"), F.slice(tokens, (first + 1).cast("int"), (last - first).cast("int")).alias("t")).alias("p"))
+    whole = part.groupBy(key, "block").agg(F.array_sort(F.collect_list("p")).alias("p")).select(key, "block", F.flatten(F.transform("p", lambda x: x["t"])).alias("tokens"))
+    whole.where(F.size("tokens") == size).write.parquet(path)
