@@ -6,7 +6,8 @@ confirms count.
 1. SimHash: the operator's vantage-point trees join the classes' fingerprints within its radius. That finds close
    copies; at similarity 0.8 about 10 of 64 bits differ, and no tree prunes at such a radius.
 2. MinHash: classes that agree in a band of their signature share a bucket; at similarity 0.8 two miss each other in all
-   of BANDS bands of ROWS values with a chance of 0.02 %. Each class is compared with the least class of its buckets.
+   of BANDS bands of ROWS values with a chance of 0.02 %. Each class is compared with one of each of its buckets: that which
+   meets the most others, as a text does from which others were made.
 3. Buckets that still hold classes of several components: in one of up to SMALL classes, each class outside of the
    largest component is compared with all that aren't in its own. Larger ones, such as those of texts that share a
    common passage, are not paired; their classes meet in a prefix join, which misses nothing: shingles are put in order
@@ -37,8 +38,8 @@ from .shared import forget, keep, small_batches
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 16, 4
-#: Classes of a bucket that is paired; rows of a side that is broadcast.
-SMALL, BROADCAST_ROWS = 32, 250_000
+#: Classes of a bucket that is paired; rows of a side that is broadcast; links that one task thins out.
+SMALL, BROADCAST_ROWS, FOREST_LINKS = 32, 250_000, 1_000_000
 _RNG = np.random.default_rng(SEED)
 _A, _B = _RNG.integers(0, 2**32, (2, BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32)
 _A |= np.uint32(1)
@@ -91,6 +92,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return keep(found.mapInArrow(lambda batches: _alike(shingle, similarity)(batches), "a long, b long"), "near-links")
 
 
+def _forest(links: DataFrame) -> DataFrame:
+    """a, b that connect what the links connect, hardly more of them than nodes: each task drops what closes a ring among its links."""
+
+    def run(batches):
+        ends = [np.concatenate(x) for x in zip(*[(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches])]
+        if ends:
+            nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
+            forest = simhash.Forest(len(nodes))
+            forest.link(*np.split(place, 2))
+            root = forest.root(np.arange(len(nodes)))
+            at = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["a", "b"])
+
+    return links.repartition(1 + links.count() // FOREST_LINKS).mapInArrow(run, "a long, b long")
+
+
 def _each_shingle(shingle):
     def run(batches):
         for batch in batches:
@@ -106,22 +123,32 @@ def _pair(a: str, b: str):
     return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
 
 
-def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: pairs of the texts (class, text, component) of different components that may reach the similarity."""
+def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """class, size, at, shingle: the first shingles of each of the texts (class, text), rarest among them first, as many as a set of that similarity must share one of; those that only one text has are left out."""
     every = keep(texts.select("class", "text").mapInArrow(_each_shingle(shingle), "class long, shingle long"), "near-shingles")
     common = every.groupBy("shingle").agg(F.count("*").alias("df"))
     sets = every.join(common, "shingle").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).withColumn("size", F.size("s"))
-    first = sets.select("class", "size", F.posexplode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int"))).alias("at", "x")).where("x.df > 1")
-    first = keep(first.join(texts.select("class", "component"), "class").select("class", "component", "size", "at", "x.shingle"), "near-prefixes")
-    mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    first = first.join(mixed, "shingle", "left_semi")
-    other = first.select("shingle", F.col("class").alias("x"), F.col("component").alias("own"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
+    first = sets.select("class", "size", F.posexplode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int"))).alias("at", "x"))
+    first = keep(first.where("x.df > 1").select("class", "size", "at", "x.shingle"), "near-prefixes")
+    forget(every)
+    return first
+
+
+def prefix_pairs(first: DataFrame, parts: DataFrame, similarity: float, star: bool = False) -> DataFrame:
+    """a, b: pairs of different components (parts: class, component; a class without one is its own) that share a shingle of their prefixes and may reach the similarity.
+
+    star: only those with the one text of each shingle that has it first; that connects most components before all their pairs are asked for.
+    """
+    first = first.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("at", "class", "component", "size")).alias("head")).where("lo <> hi")
+    if star:
+        met = first.join(mixed, "shingle").select("class", "component", "size", "at", *[F.col("head")[c].alias(n) for c, n in (("class", "x"), ("component", "own"), ("size", "size_x"), ("at", "at_x"))])
+    else:
+        first = first.join(mixed.select("shingle"), "shingle", "left_semi")
+        met = first.join(first.select("shingle", F.col("class").alias("x"), F.col("component").alias("own"), F.col("size").alias("size_x"), F.col("at").alias("at_x")), "shingle").where("class > x")
     # What two sets share is what they share from their first common shingle on.
     enough = F.least(F.col("size") - F.col("at"), F.col("size_x") - F.col("at_x")) * (1 + similarity) >= similarity * (F.col("size") + F.col("size_x")) - 1e-6
-    found = keep(first.join(other, "shingle").where((F.col("class") > F.col("x")) & (F.col("component") != F.col("own")) & enough).select(F.col("class").alias("a"), F.col("x").alias("b")).distinct(), "near-pairs")
-    forget(every)
-    forget(first)
-    return found
+    return met.where((F.col("component") != F.col("own")) & enough).select(*_pair("class", "x")).distinct()
 
 
 def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -140,9 +167,11 @@ def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     trees = simhash.hamming_forest(prints.select("fp")).join(end("a", "x", "size"), "a").join(end("b", "y", "other"), "b").select("x", "size", "y", "other")
 
     spread = classes.select("class", "size", F.posexplode("bands").alias("band", "key"))
-    heads = spread.groupBy("band", "key").agg(F.min(F.struct("class", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = keep(spread.join(heads, ["band", "key"]), "near-members")
-    star = members.select(F.col("class").alias("x"), "size", F.col("head.class").alias("y"), F.col("head.size").alias("other"))
+    shared = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = keep(spread.join(shared, ["band", "key"]), "near-members")
+    met = members.groupBy("class").agg(F.sum("n").alias("met"))
+    heads = members.join(met, "class").groupBy("band", "key").agg(F.max(F.struct("met", "class", "size")).alias("head"))
+    star = members.join(heads, ["band", "key"]).select(F.col("class").alias("x"), "size", F.col("head.class").alias("y"), F.col("head.size").alias("other"))
     pairs = keep(alike.unionByName(trees).unionByName(star).where((F.col("x") != F.col("y")) & near).select(*_pair("x", "y")).distinct(), "near-pairs")
 
     asked = members.select("class").unionByName(pairs.select(F.col("a").alias("class"))).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
@@ -150,7 +179,7 @@ def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     texts = docs.join(asked, (F.col("hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("class", "text").dropDuplicates(["class"])
     texts = keep(texts, "near-texts")
     links = _linked(pairs, texts, shingle, similarity)
-    parts = connected_components(links).select(F.col("node").alias("class"), "component")
+    parts = connected_components(_forest(links)).select(F.col("node").alias("class"), "component")
 
     now = members.select("band", "key", "class", "size", "n").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
     counted = now.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
@@ -159,17 +188,21 @@ def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     small = now.where(F.col("n") <= SMALL)
     minor = small.where("component <> top").select("band", "key", F.col("class").alias("x"), F.col("size").alias("other"), F.col("component").alias("own"))
     rest = small.join(minor, ["band", "key"]).where((F.col("component") != F.col("own")) & near).select(*_pair("class", "x"))
-    large = keep(now.where(F.col("n") > SMALL).select("class", "component").distinct().join(texts, "class"), "near-large")
-    rest = rest.unionByName(prefix_pairs(large, shingle, similarity)).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _linked(rest, texts, shingle, similarity)
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+    large = prefixes(now.where(F.col("n") > SMALL).select("class").distinct().join(texts, "class"), shingle, similarity)
+    asked = keep(prefix_pairs(large, parts, similarity, star=True).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    more = _linked(asked, texts, shingle, similarity)
+    stars = lambda parts: parts.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
+    grown = connected_components(_forest(stars(parts).unionByName(more))).select(F.col("node").alias("class"), "component")
+    rest = rest.unionByName(prefix_pairs(large, grown, similarity)).distinct().join(pairs.unionByName(asked), ["a", "b"], "left_anti")
+    last = _linked(rest, texts, shingle, similarity)
+    final = connected_components(_forest(stars(grown).unionByName(last))).select(F.col("node").alias("class"), "component")
 
     named = classes.select("class", "first").join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
     firsts = named.groupBy("component").agg(F.min("first").alias("stays")).join(named, "component").select("class", "stays")
     keys = rows.groupBy("class", "doc_id", "hash").agg(F.count("*").alias("n")).join(firsts, "class")
     stays = (F.col("hash") == F.col("stays.hash")) & F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
     found = keep(keys.withColumn("stays", stays).where("NOT stays OR n > 1").select("doc_id", "hash", "stays"), "near-dropped")
-    for t in (rows, classes, prints, members, pairs, texts, links, parts, now, large, more, final):
+    for t in (rows, classes, prints, members, pairs, texts, links, parts, now, large, asked, more, grown, last, final):
         forget(t)
     return found.where("NOT stays").select("doc_id", "hash"), found.where("stays").select("doc_id", "hash")
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -28,12 +29,34 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from .shared import free_name, small_batches, table
 
 MARK = "▁"
-#: Strings that a worker remembers.
+#: Strings in a generation of those that a worker remembers.
 CACHE = 200_000
 #: What a character without a piece costs beside the worst piece.
 UNKNOWN_PENALTY = 10.0
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class _Known(dict):
+    """The packed ids of strings, made when first asked for; of two generations, the older one goes."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, s: str) -> bytes:
+        found = self.older.get(s)
+        if found is None:
+            found = _packed(self.make(s))
+        if len(self) >= CACHE:
+            self.older = self.copy()
+            self.clear()
+        self[s] = found
+        return found
+
+
 class Pieces:
     def __init__(self, model: str):
         import sentencepiece
@@ -54,9 +77,11 @@ class Pieces:
         self.automaton.make_automaton()
         self.unknown = min((float(sp.get_score(i)) for i in plain), default=0.0) - UNKNOWN_PENALTY
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.is_byte = np.zeros(n, dtype=bool)
+        self.is_byte[list(self.byte_of)] = True
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", self.names[i]) or "\n" in self.names[i] for i in plain)
-        self.known: dict[str, list[int]] = {}
-        self.mark, self.feed = self._bytes(MARK), self._bytes("\n")
+        self.known = _Known(self.viterbi)
+        self.mark, self.feed = _packed(self._bytes(MARK)), _packed(self._bytes("\n"))
 
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
@@ -81,44 +106,33 @@ class Pieces:
             at = start
         return out[::-1]
 
-    def _part(self, s: str) -> list[int]:
-        ids = self.known.get(s)
-        if ids is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            ids = self.known[s] = self.viterbi(s)
-        return ids
-
-    def _line(self, s: str) -> list[int]:
+    def _line(self, s: str) -> bytes:
         """s has spaces; it may begin with the mark of the text's begin."""
         if not self.apart:
-            return self.viterbi(s.replace(" ", MARK))
-        out: list[int] = []
+            return _packed(self.viterbi(s.replace(" ", MARK)))
         if "  " in s or s[:1] == " ":
             parts = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", s.replace(" ", MARK))
         else:
             first, *rest = s.split(" ")
             parts = [first, *[MARK + x for x in rest]]
-        for part in parts:
-            out += self._part(part)
-        return out
+        return b"".join(map(self.known.__getitem__, parts))
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        out: list[int] = []
+            return np.empty(0, dtype=np.int32)
+        out: list[bytes] = []
         for i, run in enumerate(text.split(MARK)):
             if i:
-                out += self.mark
+                out.append(self.mark)
             for j, line in enumerate(run.split("\n") if self.apart else [run]):
                 if j:
-                    out += self.feed
+                    out.append(self.feed)
                 if not i and not j:
                     # The mark before the text joins a text that begins with spaces: as many marks, and one more.
-                    out += self._line(" " + line) if line[:1] == " " or not line else self._line(MARK + line)
+                    out.append(self._line(" " + line) if line[:1] == " " or not line else self._line(MARK + line))
                 elif line:
-                    out += self._line(line)
-        return out
+                    out.append(self._line(line))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids) -> str:
         out, raw = [], bytearray()
@@ -183,7 +197,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = sp.encode(text)
-                rows.append((doc_id, len(ids), sum(i in sp.byte_of for i in ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), sp.decode(ids) == (text or "")))
+                rows.append((doc_id, len(ids), int(sp.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), sp.decode(ids.tolist()) == (text or "")))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.bool_()])], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 

@@ -56,6 +56,9 @@ def may_learn(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+_NONE = ("", ())
+
+
 class Words:
     """Distinct words of a text without the marks around them, and their features: each word, its stems, and stems that several words share."""
 
@@ -85,7 +88,8 @@ class Words:
                 if len(known) > 200_000:
                     known.clear()
                 word = w.strip(_EDGE)
-                found = known[w] = (word, tuple(x for x in self.names(word) if x in bases)) if word else ("", ())
+                names = tuple([x for x in self.names(word) if x in bases]) if word else ()
+                found = known[w] = (word, names) if names else _NONE
             if found[1]:
                 hits.add(found)
         counts = Counter(x for _, names in hits for x in names)

@@ -99,8 +99,11 @@ def test_prefix_pairs_miss_nothing(spark):
         texts.append(" ".join(words))
         texts.append(" ".join(words[rng.integers(0, 3) :] + [f"v{x}" for x in rng.integers(0, 9, rng.integers(0, 3))]))
     sets = [set(near_copies.shingles(t).tolist()) for t in texts]
-    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "class long, text string, component long")
-    got = {(r["a"], r["b"]) for r in near_copies.prefix_pairs(df, 5, 0.8).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "class long, text string")
+    alone = spark.createDataFrame([], "class long, component long")
+    first = near_copies.prefixes(df, 5, 0.8)
+    got = {(r["a"], r["b"]) for r in near_copies.prefix_pairs(first, alone, 0.8).collect()}
+    assert {(r["a"], r["b"]) for r in near_copies.prefix_pairs(first, alone, 0.8, star=True).collect()} <= got
     want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(want) > 50 and want <= got and len(got) < 4 * len(want)
 
