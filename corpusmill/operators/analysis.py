@@ -190,3 +190,101 @@ def difference_in_differences(rows: DataFrame, flag: str, before: str, after: st
     on = F.col(flag)
     g = rows.agg((rate(after, on) - rate(before, on)).alias("i"), (rate(after, ~on) - rate(before, ~on)).alias("o"))
     return g.select(F.round("i", 6).alias("inside"), F.round("o", 6).alias("outside"), F.round(F.col("i") - F.col("o"), 6).alias("did"))
+
+
+def anatomy(rows: DataFrame, dup: float = 0.7, margin: float = 0.15, high: float = 0.8) -> DataFrame:
+    """sample_id, kind of rows that are wrong with and without their context: broken_label, unparsable, near_duplicate_options, window_supports_both, distraction_ctx_favours_wrong, conviction_evidence_ignored, discrimination_gold_favoured, tied_low_support.
+
+    rows: sample_id, choices, answer, closed and opened (letters, '' if unread), context, broken (boolean). The order of the tests is part of the definition.
+    """
+    n = F.size("choices")
+    place = lambda c: F.when((F.length(c) == 1) & (F.ascii(c) - 65).between(0, n - 1), F.ascii(c) - 65)
+    rows = rows.withColumns({"_c": place(F.col("closed")), "_o": place(F.col("opened"))}).where("NOT (coalesce(_c, -1) = answer) AND NOT (coalesce(_o, -1) = answer)")
+    option = lambda i: T.content_terms(F.get("choices", i))
+    rows = rows.withColumns({"_t": T.content_terms(F.col("context")), "_g": option(F.col("answer")), "_p": option(F.coalesce("_o", F.lit(0)))})
+    share = lambda c: F.coalesce(T.support(F.col(c), F.col("_t")), F.lit(0.0))
+    gold, picked = share("_g"), share("_p")
+    kind = F.when(F.col("broken"), "broken_label").when(F.col("_o").isNull(), "unparsable").when(T.jaccard(F.col("_g"), F.col("_p")) >= dup, "near_duplicate_options")
+    kind = kind.when((gold >= high) & (picked >= high), "window_supports_both").when(picked > gold + margin, "distraction_ctx_favours_wrong")
+    kind = kind.when(gold > picked + margin, F.when(F.col("opened") == F.col("closed"), "conviction_evidence_ignored").otherwise("discrimination_gold_favoured"))
+    return rows.select("sample_id", kind.otherwise("tied_low_support").alias("kind"))
+
+
+def unreachable(rows: DataFrame) -> DataFrame:
+    """kind, n of wrong rows: addressable_single_window, broken_label, split_across_windows, needs_corpus_pass. rows: correct, single, pooled, broken."""
+    kind = F.when(F.col("single"), "addressable_single_window").when(F.col("broken"), "broken_label").when(F.col("pooled"), "split_across_windows").otherwise("needs_corpus_pass")
+    return rows.where("NOT correct").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def majority(candidates: list[Column]) -> Column:
+    """The commonest of the candidates that aren't null; ties go to the first among them."""
+    said = F.array_compact(F.array(*candidates))
+    best = F.transform(said, lambda x, i: F.struct(F.size(F.filter(said, lambda y: y == x)).alias("n"), (-i).alias("i"), x.alias("x")))
+    return F.array_max(best)["x"]
+
+
+def taxonomy(rows: DataFrame) -> DataFrame:
+    """source_class, closed_class, n of wrong rows. rows: answer, model, with_source, alone (letters; X: abstains), has_source; gold and model name what a judge agrees with."""
+    gold = T.letter(F.col("answer"))
+    source = F.when(~F.col("has_source"), "no windows").when(F.col("with_source") == gold, "gold").when(F.col("with_source") == F.col("model"), "model").when(F.col("with_source") == "X", "unsupported").otherwise("third")
+    closed = F.when(F.col("alone") == gold, "gold").when(F.col("alone") == F.col("model"), "model").otherwise("other")
+    return rows.where(F.col("model") != gold).groupBy(source.alias("source_class"), closed.alias("closed_class")).agg(F.count("*").alias("n"))
+
+
+def negative_sets(mined: DataFrame, control: DataFrame, on: str = "sample_id") -> DataFrame:
+    """One row: for mined and control sets (letters closed and opened, gold) the shares confusable (read, wrong without evidence) and flipping (that, and right with it) over items that both have, and the discordant counts."""
+    flags = lambda d, n: d.select(on, ((F.col("closed") != F.col("gold")) & (F.col("closed") != "")).alias(f"{n}_c"), ((F.col("closed") != F.col("gold")) & (F.col("closed") != "") & (F.col("opened") == F.col("gold"))).alias(f"{n}_f"))
+    j = flags(mined, "m").join(flags(control, "k"), on)
+    n = F.greatest(F.count("*"), F.lit(1))
+    share = lambda c: F.round(_count(F.col(c)) / n, 4)
+    out = j.agg(F.count("*").alias("n_paired"), share("m_c").alias("mined_confusable"), share("k_c").alias("control_confusable"), share("m_f").alias("mined_flips"), share("k_f").alias("control_flips"), _count(F.expr("m_c AND NOT k_c")).alias("mined_only"), _count(F.expr("k_c AND NOT m_c")).alias("control_only"))
+    return out.withColumn("discordant_ratio", F.round(F.col("mined_only") / F.greatest(F.col("control_only"), F.lit(1)), 3))
+
+
+def swapped_distractors(rows: DataFrame, salt: str, pool_least: int = 50, tries: int = 16) -> DataFrame:
+    """sample_id, choices: the gold and, drawn by hash from the options of its subject, others that overlap it by half at most; only where the subject has enough and tries give them."""
+    norm = lambda c: T.norm_tokens(c)
+    options = rows.select("subject", F.explode("choices").alias("option")).select("subject", "option", norm(F.col("option")).alias("key")).where("key <> ''").groupBy("subject", "key").agg(F.min("option").alias("option"))
+    order = W.partitionBy("subject").orderBy(T.hash_order(salt, F.col("key")), "key")
+    pool = options.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(W.partitionBy("subject"))).where(F.col("_n") >= pool_least)
+    sizes = pool.groupBy("subject").agg(F.first("_n").alias("_n"))
+    asked = rows.join(sizes, "subject").withColumn("_s", F.floor(T.h01(salt, F.col("sample_id")) * F.col("_n"))).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_i", F.pmod(F.col("_s") + F.col("_t"), "_n"))
+    met = asked.select("sample_id", "subject", "choices", "answer", "_t", "_i").join(pool.select("subject", "_i", "option", "key"), ["subject", "_i"])
+    met = met.withColumn("gold", F.col("choices")[F.col("answer")])
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    met = met.where((F.col("key") != norm(F.col("gold"))) & (T.jaccard(words(F.col("key")), words(norm(F.col("gold")))) <= 0.5))
+    g = met.groupBy("sample_id").agg(F.first("gold").alias("gold"), F.first(F.size("choices")).alias("n"), F.array_sort(F.collect_list(F.struct("_t", "option"))).alias("o"))
+    g = g.where(F.size("o") >= F.col("n") - 1).withColumn("o", F.expr("transform(slice(o, 1, n - 1), x -> x.option)"))
+    place = F.floor(T.h01(f"{salt}p", F.col("sample_id")) * F.col("n")).cast("int")
+    g = g.withColumn("answer", place)
+    return g.select("sample_id", F.expr("concat(slice(o, 1, answer), array(gold), slice(o, answer + 1, 9))").alias("choices"), "answer")
+
+
+def window_recall(windows: DataFrame, gold: DataFrame, share: float = 0.8) -> DataFrame:
+    """item_id, single (rank of the first window with enough of the gold's terms; null: none), pooled (all its windows together have them). windows: item_id, rank, c (terms); gold: item_id, g; false without terms."""
+    j = gold.join(windows, "item_id", "left").withColumn("_hit", (F.size("g") > 0) & (F.size(F.array_intersect("g", F.coalesce("c", F.array().cast("array<string>")))) >= share * F.size("g")))
+    r = j.groupBy("item_id").agg(F.min(F.when(F.col("_hit"), F.col("rank"))).alias("single"), F.first("g").alias("g"), F.array_distinct(F.flatten(F.collect_list("c"))).alias("all"))
+    return r.select("item_id", "single", ((F.size("g") > 0) & (F.size(F.array_intersect("g", "all")) >= share * F.size("g"))).alias("pooled"))
+
+
+def verbatim_coverage(windows: DataFrame, gold: DataFrame, sources: list[str], least: int = 4) -> DataFrame:
+    """One row: n items, those whose gold (of least characters) stands in a window of each source, and of either. windows: item_id, source, text (normalised); gold: item_id, gold."""
+    j = gold.join(windows, "item_id").withColumn("_has", (F.length("gold") >= least) & F.col("text").contains(F.col("gold")))
+    g = j.groupBy("item_id").agg(*[F.coalesce(F.max(F.col("_has") & (F.col("source") == x)), F.lit(False)).alias(x) for x in sources])
+    either = reduce(lambda a, b: a | b, [F.col(x) for x in sources])
+    return g.agg(F.count("*").alias("n"), *[_count(F.col(x)).alias(x) for x in sources], _count(either).alias("either"))
+
+
+def cells(rows: DataFrame, by: list[str], id_col: str, salt: str, most: int) -> DataFrame:
+    """by, n, right of up to most rows of each cell, drawn by hash. rows: by, id_col, ok."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(T.hash_order(salt, F.col(id_col)), id_col))
+    return rows.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(*by).agg(F.count("*").alias("n"), F.count_if("ok").alias("right"))
+
+
+def mean_pairwise(rows: DataFrame, by: str, order: str, words: str) -> DataFrame:
+    """by, pairs, mean (Jaccard similarity over the pairs of a group's rows), under_half. Groups are small: views of one fact, turns of one conversation."""
+    g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, words))).alias("s")).where(F.size("s") > 1)
+    g = g.select(by, F.transform("s", lambda x: x[words]).alias("s"))
+    pairs = g.select(by, "s", F.posexplode("s").alias("i", "x")).select(by, "x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
+    j = pairs.select(by, T.jaccard(F.col("x"), F.col("y")).alias("j"))
+    return j.groupBy(by).agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("mean"), _count(F.col("j") < 0.5).alias("under_half"))

@@ -96,3 +96,34 @@ def dense_rerank(pool: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     dot = F.aggregate(F.zip_with("qe", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     s = norm(pool).join(small(q), "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / (F.col("qn") * F.col("n")), 6).alias("score"))
     return top(s, "query_id", "score", "vec_id", k)
+
+
+def best_of_forms(docs: DataFrame, forms: list[DataFrame], k: int = 20) -> DataFrame:
+    """bm25 for each form of the queries; a document's score is its best one, ranked anew."""
+    found = [bm25(docs, q, k).select("item_id", "doc_id", "score") for q in forms]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return top(every.groupBy("item_id", "doc_id").agg(F.max("score").alias("score")), "item_id", "score", "doc_id", k)
+
+
+def passage_scores(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """item_id, doc_id, score, rank over each query's own passages (item_id, doc_id, text): idf of shared words, divided by the root of the passage's words."""
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9][a-z0-9.\-_]+"), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(*T.RETRIEVAL_STOP)))
+    own = passages.select("item_id", "doc_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    pool = own.groupBy("item_id").agg(F.count("*").alias("pool"))
+    each = own.select("item_id", "doc_id", "n_words", F.explode("w").alias("word"))
+    asked = queries.select("item_id", F.explode(words(F.col("text"))).alias("word"))
+    met = each.join(small(asked), ["item_id", "word"])
+    df = met.groupBy("item_id", "word").agg(F.count("*").alias("df")).join(pool, "item_id").select("item_id", "word", F.log(1 + F.col("pool") / (1 + F.col("df"))).alias("idf"))
+    scores = met.join(df, ["item_id", "word"]).groupBy("item_id", "doc_id", "n_words").agg(F.sum("idf").alias("s"))
+    return top(scores.select("item_id", "doc_id", F.round(F.col("s") / F.sqrt(F.col("n_words") + 1), 6).alias("score")), "item_id", "score", "doc_id", k)
+
+
+def tightest_spans(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """item_id, doc_id, span, n_options: of the documents that hold least of an item's options the one where they stand closest. pairs: item_id, doc_id, text, options (both normalised); ties to the smaller doc_id."""
+    at = F.filter(F.transform("options", lambda o: F.struct(F.instr(F.col("text"), o).alias("a"), F.length(o).alias("n"))), lambda x: (x["a"] > 0) & (x["n"] > 0))
+    held = pairs.select("item_id", "doc_id", at.alias("s")).where(F.size("s") >= least)
+    span = F.array_max(F.transform("s", lambda x: x["a"] + x["n"])) - F.array_min(F.transform("s", lambda x: x["a"]))
+    best = held.select("item_id", "doc_id", span.alias("span"), F.size("s").alias("n_options")).groupBy("item_id").agg(F.min(F.struct("span", "doc_id", "n_options")).alias("b"))
+    return best.select("item_id", "b.doc_id", "b.span", "b.n_options")

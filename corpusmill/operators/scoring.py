@@ -97,3 +97,10 @@ def union_accuracy(runs: dict[str, DataFrame], on: str) -> DataFrame:
 def movement(rows: DataFrame, before: str, after: str, by: str, step: float = 0.05) -> DataFrame:
     d = F.col(after) - F.col(before)
     return rows.groupBy(by).agg(F.count_if(d > step).alias("up"), F.count_if(d < -step).alias("down"), F.count("*").alias("n"))
+
+
+def paired_groups(a: DataFrame, b: DataFrame, on: str, groups: dict[str, Column]) -> DataFrame:
+    """value, n, right_a, right_b, only_a, only_b, delta_pp, p over the rows of each group (a condition on a's columns; groups may overlap), in one join."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in groups.items()]))
+    marked = a.withColumn("value", F.explode(names))
+    return paired(marked, b, on, "value")

@@ -76,3 +76,14 @@ def preference_pairs(rows: DataFrame, salt: str) -> DataFrame:
     rejected = F.when(F.col("correct"), drawn).otherwise(F.col("predicted"))
     out = rows.where("NOT parse_failed").withColumn("_r", rejected)
     return out.select("sample_id", F.when(F.col("correct"), "anchor").otherwise("error").alias("kind"), F.col("choices")[F.col("answer")].alias("chosen"), F.col("choices")[F.col("_r")].alias("rejected"))
+
+
+def subset_votes(runs: dict[str, DataFrame], subsets: list[tuple[str, ...]], on: str = "sample_id") -> DataFrame:
+    """subset, right: right answers of the majority by option text (ties to the earlier run) over each subset of the runs; the subsets are a few names, each is a vote of its own."""
+    gold = next(iter(runs.values())).select(on, F.col("choices")[F.col("answer")].alias("_gold"))
+    out = None
+    for names in subsets:
+        voted = text_majority([runs[n] for n in names], on).join(gold, on)
+        one = voted.agg(F.lit("+".join(names)).alias("subset"), F.count_if(F.col("winner") == F.col("_gold")).alias("right"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -448,11 +448,6 @@ def x02_mcnemar_counts(s, d):
     return scoring.paired(run(s, d, "base"), run(s, d, "armx"), "sample_id", "subject").drop("p")
 
 
-@query()
-def x01_exact_binomial(s, d):
-    return scoring.paired(run(s, d, "base"), run(s, d, "armx"), "sample_id", "subject").select("subject", "only_a", "only_b", "p")
-
-
 @query(f"""WITH {_RUNS}, g AS (SELECT subject, count(*) AS n, sum(CAST(correct AS INT)) AS k FROM base GROUP BY 1), w AS (SELECT subject, n, k / n AS p, 1.959963984540054 AS z FROM g)
 SELECT subject, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS lo, round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS hi FROM w""")
 def x03_wilson(s, d):
@@ -600,12 +595,6 @@ def j03_hit_rate(s, d):
     return joins.hit_rate(_docs(s, d), read(s, d, "labels"), "doc_id")
 
 
-@query("SELECT 0::BIGINT AS overlapping, 0::BIGINT AS missing, 0::BIGINT AS \"unknown\"")
-def u05_partition_check(s, d):
-    split = o05_threshold_split(s, d)
-    return joins.partition_check([split.where("split = 'val'"), split.where("split = 'train'")], _docs(s, d), "doc_id")
-
-
 # Incremental and streams.
 @query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'view' AND value IS NOT NULL)")
 def s14_resume_append(s, d):

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from corpusmill.plans import catalog, catalog_analysis, catalog_gates, catalog_texts  # noqa: F401
+from corpusmill.plans import catalog, catalog_analysis, catalog_evidence, catalog_gates, catalog_texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
