@@ -36,9 +36,10 @@ from pyspark.sql import Window as W
 from .shared import drop_path, keep, new_path, small_batches, table
 
 END_ID, SEED = 2, 11
-#: Bytes of text behind a shard, shards at most, sampled rows for each; ids after which a segment is cut; keys of a bucket of the directory.
-SHARD_BYTES, SHARDS, SAMPLED = 16 << 20, 1 << 16, 20
-SEGMENT_IDS, BUCKET_KEYS = 1 << 20, 1 << 16
+#: Bytes of text behind a shard, shards at most, rows that are sampled for their bounds, about.
+SHARD_BYTES, SHARDS, SAMPLED = 16 << 20, 1 << 16, 1 << 16
+#: Ids after which a segment is cut, keys of a bucket of the directory, segments that one task reads for their keys, and to give all back.
+SEGMENT_IDS, BUCKET_KEYS, KEYS_TASK, READ_TASK = 1 << 20, 1 << 16, 64, 16
 #: Encoded strings in a generation of those that a worker remembers.
 CACHE = 400_000
 #: A space between two other characters that aren't white space always begins a new token: what stands on its two sides is encoded apart.
@@ -315,14 +316,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     n = docs.count()
-    few = docs.sample(min(1.0, 4096 / max(n, 1)), SEED).agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(1, min(SHARDS, n * few // SHARD_BYTES + 1)))
-    some = docs.sample(min(1.0, SAMPLED * shards / max(n, 1)), SEED).select("doc_id", "hash").limit(2 * SAMPLED * shards) if shards > 1 else docs.select("doc_id", "hash").limit(0)
-    made = docs.mapInArrow(_encoded(tokenizer, end_id, Bounds([tuple(r) for r in some.collect()], shards)), "shard int, doc_id long, hash long, ids binary")
+    some = docs.sample(min(1.0, SAMPLED / max(n, 1)), SEED).select("doc_id", "hash", F.octet_length("text")).limit(2 * SAMPLED).collect()
+    size = sum(r[2] or 0 for r in some) / max(len(some), 1) * n
+    shards = int(max(1, min(SHARDS, size // SHARD_BYTES + 1)))
+    made = docs.mapInArrow(_encoded(tokenizer, end_id, Bounds([tuple(r)[:2] for r in some], shards)), "shard int, doc_id long, hash long, ids binary")
     dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "hash")
-    dealt.select("shard", "doc_id", "ids").mapInArrow(_packer(width, SEGMENT_IDS), _SEGMENT).write.parquet(f"{path}/segments")
+    dealt.select("shard", "doc_id", "ids").mapInArrow(_packer(width, SEGMENT_IDS), _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
     segments = spark.read.parquet(f"{path}/segments")
-    keys = segments.select("shard", "segment", "n_docs", "keys").mapInArrow(_segment_keys, "key long, place long").groupBy("key").agg(F.min("place").alias("place"))
+    keys = segments.select("shard", "segment", "n_docs", "keys").coalesce(1 + segments.count() // KEYS_TASK).mapInArrow(_segment_keys, "key long, place long").groupBy("key").agg(F.min("place").alias("place"))
     buckets = max(1, -(-(segments.agg(F.sum("n_docs")).first()[0] or 0) // BUCKET_KEYS))
     built = keys.mapInArrow(_bucketed(buckets), "bucket long, key long, place long").groupBy("bucket").applyInArrow(_bucket(buckets), _BUCKET)
     built.write.parquet(f"{path}/directory")
@@ -367,7 +368,8 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents in the files."""
-    rows = spark.read.parquet(f"{path}/segments").mapInArrow(_reader, "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    segments = spark.read.parquet(f"{path}/segments")
+    rows = segments.coalesce(1 + segments.count() // READ_TASK).mapInArrow(_reader, "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(segment_starts(spark, path), ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
