@@ -4,11 +4,13 @@ Voters look at a text's distinct words: a fixed lexicon of insults in a few grou
 reader, insults in capitals, masked insults), and induced lexicons, word stems that a bounded sample of labelled rows
 ties to toxicity, dealt to several voters. A vote is given or not.
 
-The label model has a rate of toxic documents and, for each voter, its vote's probability in toxic and in clean
-documents; it is fitted by EM to the counts of vote patterns over all rows that may be learned from, labelled or not.
-The voters' correlations within a class are then estimated from the same counts, and a vote's evidence is divided by
-what it shares with the other votes, so that copies of one signal count once. Its posteriors are the labels from which a
-logistic regression over words, stems and voters is trained, on the bounded sample. The regression scores every text.
+The label model has a rate of toxic documents, for each voter its vote's probability in toxic and in clean documents, and
+the voters' correlations within a class; a vote's evidence is divided by what it shares with the other votes, so that
+copies of one signal count once. All are estimated together by EM over the counts of vote patterns of all rows that
+may be learned from, labelled or not. The model's
+posteriors are the labels from which a logistic regression is trained on the bounded sample, over the voters, their
+words and stems, and all words that WORD_DOCS of the sample's texts have, whether a voter knows them or not. The
+regression scores every text; words whose weight is under LEAST_WEIGHT don't count.
 
 Rows may be learned from if crc32(doc_id as text) mod 3 is not 1. labels, lang, source and doc_id are no inputs.
 
@@ -32,11 +34,13 @@ from .shared import small_batches, table
 
 #: Labelled rows of each class that features are induced from and the regression is fitted on, at most.
 SAMPLE_PER_CLASS = 4000
-#: Features that are induced at most, documents of the sample that must hold one, voters they are dealt to.
-INDUCED, INDUCED_DOCS, INDUCED_VOTERS = 1500, 4, 5
+#: Toxic documents of the sample that must hold an induced feature, voters these are dealt to; documents that must hold any word, and the weight that keeps it.
+INDUCED_DOCS, INDUCED_VOTERS, WORD_DOCS, LEAST_WEIGHT = 4, 5, 8, 0.05
 #: Lengths of the stems of words that are longer; a stem in so many distinct words is a feature of its own.
 STEMS, SHARED = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.7
+#: Correlation within a class up to which voters count as independent: lesser ones are what the posteriors leave of the class itself, and would take the signal.
+APART = 0.3
 
 LEXICON = {
     "intelligence": "idiot idiots moron morons stupid imbecile dumb fool idiota imbécil estúpido dummkopf blödmann crétin abruti",
@@ -85,7 +89,7 @@ class Words:
         for w in set(text.lower().split()):
             found = known.get(w)
             if found is None:
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 word = w.strip(_EDGE)
                 names = tuple([x for x in self.names(word) if x in bases]) if word else ()
@@ -117,26 +121,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "toxic")
 
 
-def induced(sample: DataFrame) -> list[str]:
-    """Features that the sample ties to toxicity, strongest first."""
+def vocabulary(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Features that the sample ties to toxicity, strongest first, and its other words, commonest first. The bounded sample bounds both."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return []
+        return [], []
     counts = sample.mapInArrow(_names, "name string, toxic int").groupBy("name").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     lift = F.log(((F.col("t") + 0.5) / (sizes[1] + 1)) / ((F.col("c") + 0.5) / (sizes[0] + 1)))
-    strong = counts.withColumn("lift", lift).where(F.col("t") >= INDUCED_DOCS).where("lift > 3.2")
-    return [r["name"] for r in strong.orderBy(F.desc("t"), "name").limit(INDUCED).collect()]
+    tied = (F.col("t") >= INDUCED_DOCS) & (lift > 3.2)
+    plain = ~F.col("name").rlike("-([*][0-9]+)?$") & (F.col("t") + F.col("c") >= WORD_DOCS)
+    found = counts.withColumn("tied", tied).where(tied | plain).orderBy(F.desc("t"), F.desc("c"), "name").select("name", "tied").collect()
+    return [r["name"] for r in found if r["tied"]], [r["name"] for r in found if not r["tied"]]
 
 
 class Voters:
     """Votes of a text as bits: the lexicon's groups, the patterns, the induced lexicons."""
 
-    def __init__(self, stems: list[str]):
+    def __init__(self, stems: list[str], plain: list[str] = ()):
+        """plain: words that are features but no votes."""
         self.stems = [s for s in stems if s not in _FIXED]
+        self.plain = [w for w in plain if w not in _FIXED]
         self.groups = list(LEXICON)
         self.names = [*self.groups, "aimed", "capitals", "masked", *(f"induced{i}" for i in range(INDUCED_VOTERS if self.stems else 0))]
         vocabulary = {w: i for i, w in enumerate(_FIXED)}
-        self.words = Words(vocabulary | {s: len(_FIXED) + i for i, s in enumerate(self.stems)})
+        self.words = Words(vocabulary | {s: len(_FIXED) + i for i, s in enumerate([*self.stems, *self.plain])})
         self.size = len(self.words.vocabulary) + len(self.names)
         self.bit = [self.groups.index(_FIXED[w]) for w in _FIXED] + [len(self.groups) + 3 + i % INDUCED_VOTERS for i in range(len(self.stems))]
 
@@ -144,7 +152,8 @@ class Voters:
         """Features of the text, and its votes as a bit mask."""
         found, votes = self.words.features(text or ""), 0
         for f in found:
-            votes |= 1 << self.bit[f]
+            if f < len(self.bit):
+                votes |= 1 << self.bit[f]
         n = len(self.groups)
         if any(f < len(_FIXED) for f in found):
             if _AIMED.search(text.lower()):
@@ -161,9 +170,9 @@ class LabelModel:
     """Two classes; voters vote with a probability of their own in each, and the evidence of correlated votes is shared."""
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-        """patterns: rows of 0 and 1 by voter; counts: how many documents have each."""
+        """patterns: rows of 0 and 1 by voter; counts: how many documents have each. Each round of EM estimates rates, accuracies and correlations from the posteriors of the one before."""
         x, c = patterns.astype(float), counts.astype(float)
-        hits, m = x.sum(1), x.shape[1]
+        hits, self.share = x.sum(1), np.ones(x.shape[1])
         post = np.where(hits >= 2, 0.9, np.where(hits == 1, 0.5, 0.02))
         for _ in range(rounds):
             one, zero = c * post, c * (1 - post)
@@ -171,20 +180,24 @@ class LabelModel:
             self.p1 = np.clip((one @ x + 1) / (one.sum() + 2), 1e-4, 1 - 1e-4)
             self.p0 = np.clip((zero @ x + 0.01) / (zero.sum() + 2), 1e-5, 1 - 1e-4)
             self.p0 = np.minimum(self.p0, self.p1)  # a vote never speaks for clean
-            new = self._posterior(x, np.ones(m))
-            if np.abs(new - post).max() < 1e-6:
+            self.share = self._shares(x, c, post)
+            new = self._posterior(x, self.share)
+            moved, post = np.abs(new - post).max(), new
+            if moved < 1e-6:
                 break
-            post = new
-        share = np.ones(m)
+        return self
+
+    def _shares(self, x: np.ndarray, c: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """How many votes' evidence each voter shares: one and its correlations with the others, in the class where they are larger."""
+        share = np.ones(x.shape[1])
         for weight, p in ((c * post, self.p1), (c * (1 - post), self.p0)):
             if weight.sum() > 1:
                 d = x - p
                 cov = (d * weight[:, None]).T @ d / weight.sum()
                 scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                rho = np.clip(cov / scale[:, None] / scale[None, :], 0, 1) - np.eye(m)
-                share = np.maximum(share, 1 + np.maximum(rho, 0).sum(1))
-        self.share = share
-        return self
+                rho = np.clip(cov / scale[:, None] / scale[None, :], 0, 1) - np.eye(x.shape[1])
+                share = np.maximum(share, 1 + np.clip((rho - APART) / (1 - APART), 0, 1).sum(1))
+        return share
 
     def _posterior(self, x: np.ndarray, share: np.ndarray) -> np.ndarray:
         on, off = np.log(self.p1 / self.p0) / share, np.log((1 - self.p1) / (1 - self.p0)) / share
@@ -228,8 +241,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels).persist()
     try:
-        stems = induced(sample)
-        voters = Voters(stems)
+        stems, plain = vocabulary(sample)
+        voters = Voters(stems, plain)
 
         def patterns(batches):
             own = Voters(stems)
@@ -239,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
         def looked(batches):
-            own = Voters(stems)
+            own = Voters(stems, plain)
             for batch in batches:
                 seen = [own.look(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(f) for f, _ in seen], pa.list_(pa.int32())), pa.array([v for _, v in seen], pa.int64())], names=["features", "votes"])
@@ -259,22 +272,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         weight = np.ones(len(rows))
     y = model.posterior(_bits([r["votes"] for r in rows], m))
     weights, intercept = logistic([list(r["features"]) for r in rows], voters.size, y, weight)
-    return Model(voters, weights, intercept)
+    at = len(_FIXED) + len(voters.stems)
+    kept = [i for i in range(len(voters.plain)) if abs(weights[at + i]) >= LEAST_WEIGHT]
+    few = Voters(stems, [voters.plain[i] for i in kept])
+    return Model(few, np.concatenate([weights[:at], weights[at:][kept], weights[at + len(voters.plain) :]]), intercept)
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """docs and a score; the text is read once to learn and once to score."""
     small_batches(docs.sparkSession)
     model = train(docs, labels)
-    stems, weights, intercept = model.voters.stems, model.weights, model.intercept
-    sent = docs.sparkSession.sparkContext.broadcast((stems, weights, intercept))
+    sent = docs.sparkSession.sparkContext.broadcast((model.voters.stems, model.voters.plain, model.weights, model.intercept))
     held: dict = {}
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         if not held:
-            stems, weights, intercept = sent.value
-            held["model"] = Model(Voters(stems), weights, intercept)
+            stems, plain, weights, intercept = sent.value
+            held["model"] = Model(Voters(stems, plain), weights, intercept)
         return text.map(held["model"].score)
 
     return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
