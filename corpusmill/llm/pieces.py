@@ -30,7 +30,7 @@ from .shared import free_name, small_batches, table
 
 MARK = "▁"
 #: Strings in a generation of those that a worker remembers.
-CACHE = 200_000
+CACHE = 100_000
 #: What a character without a piece costs beside the worst piece.
 UNKNOWN_PENALTY = 10.0
 

@@ -23,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset: a temp folder in local mode, the warehouse on a cluster."""
+    """The folder of spark.checkpoint.dir; where that is unset a temp folder, in local mode only: on a cluster it must be one that all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        found = tempfile.mkdtemp(prefix="corpusmill-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = tempfile.mkdtemp(prefix="corpusmill-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
