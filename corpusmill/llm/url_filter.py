@@ -5,6 +5,8 @@ Urls that no rule fits take part in an equivalence: pages that redirect to, or n
 aliases. Connected components over these links are found in a distributed way; a block of any member reaches every
 member, except those that a rule allows explicitly. Everything else is allowed.
 
+A url and the same without its empty path's slash are one node; a page's own rule is still that of its path as it stands.
+
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule, has no aliases and is
 allowed; null html has no links; repeated rows each get their row; an empty table gives an empty result.
 """
@@ -25,12 +27,12 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def with_parts(urls: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host, path and node: host, path and query string, the name of the url in the link graph (null: none)."""
+    """Adds host, path and node: host, path (an empty one is /) and query string, the name of the url in the link graph (null: none)."""
     rest = urls.withColumn("_at", F.instr(F.col(url), "://")).withColumn("_rest", F.when(F.col("_at") > 0, F.expr(f"substr(`{url}`, _at + 3)")).otherwise(""))
     host = rest.withColumn("_host", F.regexp_extract("_rest", r"^[^/?#]*", 0))
     host = host.withColumn("_after", F.expr("substr(_rest, length(_host) + 1)")).withColumn("host", F.translate("_host", _UP, _LOW))
     out = host.withColumn("path", F.regexp_extract("_after", r"^[^?#]*", 0))
-    return out.withColumn("node", F.when(F.col("host") != "", F.concat("host", F.regexp_extract("_after", r"^[^#]*", 0)))).drop("_at", "_rest", "_host", "_after")
+    return out.withColumn("node", F.when(F.col("host") != "", F.concat("host", F.when(F.col("path") == "", "/").otherwise(""), F.regexp_extract("_after", r"^[^#]*", 0)))).drop("_at", "_rest", "_host", "_after")
 
 
 def _fits(host: str, path: str) -> Column:
@@ -55,16 +57,23 @@ def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
     return urls.join(best, ["host", "path"], "left").withColumn("rule", F.col("_hit.rule")).withColumn("ruled", F.col("_hit.ruled")).drop("_hit")
 
 
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+#: Tags that may name another url, and what they must hold: a canonical among the words of rel, a refresh.
+_LINK, _META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_CANONICAL, _REFRESH = r"""(?is)\brel\s*=\s*(?:"[^">]*|'[^'>]*|)\bcanonical\b""", r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
+_HREF, _URL = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]*)"""
+
+
+def _named(tag: str, holds: str, url: str) -> Column:
+    """The urls of all tags that hold the pattern; ampersands are written out in html."""
+    tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(holds))
+    return F.transform(tags, lambda t: F.regexp_replace(F.regexp_extract(t, url, 1), "(?i)&(?:amp|#38|#x26);", "&"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """a, b: nodes of pages and of the urls that they name as canonical or refresh to."""
-    p = with_parts(pages.where(F.col("html").rlike(r"""(?i)rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh""")).select("url", "html")).where("node IS NOT NULL")
-    canonical = F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), r"""(?is)\burl\s*=\s*["']?([^"'\s>]*)""", 1)
-    p = p.select("host", "path", F.col("node").alias("a"), F.explode(F.array(canonical, refresh)).alias("to")).where("to <> '' AND NOT startswith(to, '#')")
+    """a, b: nodes of pages and of all urls that they name as canonical or refresh to."""
+    p = with_parts(pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", "html")).where("node IS NOT NULL")
+    p = p.withColumn("named", F.array_distinct(F.concat(_named(_LINK, _CANONICAL, _HREF), _named(_META, _REFRESH, _URL))))
+    p = p.select("host", "path", F.col("node").alias("a"), F.explode("named").alias("to")).where("to <> '' AND NOT startswith(to, '#')")
     full = (
         F.when(F.col("to").contains("://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
@@ -97,19 +106,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
-q AS (SELECT page_id, html, lower(raw) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, lower(raw) || regexp_extract(substr(rest, length(raw) + 1), '^[^#]*') AS node FROM h),
+q AS (SELECT page_id, html, lower(raw) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, lower(raw) || CASE WHEN regexp_matches(substr(rest, length(raw) + 1), '^[^?#]') THEN '' ELSE '/' END || regexp_extract(substr(rest, length(raw) + 1), '^[^#]*') AS node FROM h),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-t0 AS (SELECT host, path, node, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]*)', 1)]) AS target FROM q WHERE host <> ''),
+t0 AS (SELECT host, path, node, regexp_replace(unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*(?:"[^">]*|''[^''>]*|)\bcanonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]*)', 1)))), '(?i)&(?:amp|#38|#x26);', '&', 'g') AS target FROM q WHERE host <> ''),
 t AS (SELECT node, CASE WHEN contains(target, '://') THEN substr(target, instr(target, '://') + 3) WHEN starts_with(target, '//') THEN substr(target, 3)
     WHEN starts_with(target, '/') THEN host || target ELSE host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || target END AS rest
     FROM t0 WHERE target <> '' AND NOT starts_with(target, '#')),
-e AS (SELECT node AS a, lower(regexp_extract(rest, '^[^/?#]*')) || regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^#]*') AS b FROM t),
+e AS (SELECT node AS a, lower(regexp_extract(rest, '^[^/?#]*')) || CASE WHEN regexp_matches(rest, '^[^/?#]*/') THEN '' ELSE '/' END || regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^#]*') AS b FROM t),
 sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 names AS (SELECT node, host, path FROM q UNION SELECT a, regexp_extract(a, '^[^/?#]*'), regexp_extract(substr(a, length(regexp_extract(a, '^[^/?#]*')) + 1), '^[^?#]*') FROM sym),
-hit AS (SELECT node, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY node ORDER BY length(rhost || rpath) DESC, verdict) AS k
+hit AS (SELECT node, path, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY node, path ORDER BY length(rhost || rpath) DESC, verdict) AS k
     FROM names JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-best AS (SELECT node, rule, verdict FROM hit WHERE k = 1),
+best AS (SELECT node, path, rule, verdict FROM hit WHERE k = 1),
 reach(node) AS (SELECT node FROM best WHERE verdict = 'block' UNION SELECT b FROM reach JOIN sym ON a = reach.node)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN q.node IN (SELECT node FROM reach) THEN 'block' END, 'allow') AS verdict FROM q LEFT JOIN best ON best.node = q.node
+SELECT page_id, q.host, q.path, rule, coalesce(verdict, CASE WHEN q.node IN (SELECT node FROM reach) THEN 'block' END, 'allow') AS verdict FROM q LEFT JOIN best ON best.node = q.node AND best.path = q.path
 """

@@ -36,6 +36,17 @@ def test_url_filter_propagates_blocks(spark):
         (7, None, "allow"), (8, None, "allow"), (9, None, "allow"), (10, None, "allow"),
     }
     assert len(got) == 11
+    odd = spark.createDataFrame(
+        [
+            page(1, "http://a.net?x=1&y=2", '<link rel=stylesheet href="http://no.net/s"><link rel="nofollow canonical" href="http://b.com/de/1?p=1&amp;q=2"><link rel="canonical" href="http://c.net">'),
+            page(2, "http://c.net/"),
+            page(3, "http://e.net/z", "<meta http-equiv=refresh content=\"1; url=http://c.net#top\"><meta http-equiv='refresh' content='url=http://a.net/?x=1&#38;y=2'>"),
+            page(4, "http://b.com/de/1?p=1&q=2"), page(5, "http://no.net/s"), page(6, "http://q.org", '<link rel="canonical" href="http://c.net/">'),
+        ],
+        "page_id long, url string, html string",
+    )
+    got = {(r["page_id"], r["rule"], r["verdict"]) for r in url_filter.url_filter(odd, url_filter.page_links(odd)).collect()}
+    assert got == {(1, None, "block"), (2, None, "block"), (3, None, "block"), (4, "com/de/", "block"), (5, None, "allow"), (6, None, "block")}
     many = url_filter.RULES + [("block", f"h{i}.zz", "/") for i in range(300)]
     assert sorted(map(str, url_filter.with_rule(url_filter.with_parts(pages), many).select("page_id", "rule").collect())) == sorted(map(str, url_filter.with_rule(url_filter.with_parts(pages)).select("page_id", "rule").collect()))
     none = pages.limit(0)
