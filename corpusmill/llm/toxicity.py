@@ -5,7 +5,7 @@ reader, insults in capitals, masked insults), and induced lexicons, word stems t
 ties to toxicity, dealt to several voters. A vote is given or not.
 
 The label model has a rate of toxic documents, for each voter its vote's probability in toxic and in clean documents, and
-the voters' correlations within a class; a vote's evidence is divided by what it shares with the other votes, so that
+the voters' correlations among toxic ones; a vote's evidence is divided by what it shares with the other votes, so that
 copies of one signal count once. All are estimated together by EM over the counts of vote patterns of all rows that
 may be learned from, labelled or not. The model's
 posteriors are the labels from which a logistic regression is trained on the bounded sample, over the voters, their
@@ -25,7 +25,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ INDUCED_DOCS, INDUCED_VOTERS, WORD_DOCS, LEAST_WEIGHT = 4, 5, 8, 0.05
 #: Lengths of the stems of words that are longer; a stem in so many distinct words is a feature of its own.
 STEMS, SHARED = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.7
-#: Correlation within a class up to which voters count as independent: lesser ones are what the posteriors leave of the class itself, and would take the signal.
+#: Correlation among toxic documents up to which voters count as independent: lesser ones are what the posteriors leave of the class itself, and would take the signal.
 APART = 0.3
 
 LEXICON = {
@@ -170,34 +169,35 @@ class LabelModel:
     """Two classes; voters vote with a probability of their own in each, and the evidence of correlated votes is shared."""
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-        """patterns: rows of 0 and 1 by voter; counts: how many documents have each. Each round of EM estimates rates, accuracies and correlations from the posteriors of the one before."""
+        """patterns: rows of 0 and 1 by voter; counts: how many documents have each. EM finds rates and accuracies as if votes were independent, and from there each round estimates them and the correlations from the posteriors of the one before."""
         x, c = patterns.astype(float), counts.astype(float)
         hits, self.share = x.sum(1), np.ones(x.shape[1])
         post = np.where(hits >= 2, 0.9, np.where(hits == 1, 0.5, 0.02))
-        for _ in range(rounds):
-            one, zero = c * post, c * (1 - post)
-            self.prior = np.clip(one.sum() / max(c.sum(), 1), 1e-4, 0.5)
-            self.p1 = np.clip((one @ x + 1) / (one.sum() + 2), 1e-4, 1 - 1e-4)
-            self.p0 = np.clip((zero @ x + 0.01) / (zero.sum() + 2), 1e-5, 1 - 1e-4)
-            self.p0 = np.minimum(self.p0, self.p1)  # a vote never speaks for clean
-            self.share = self._shares(x, c, post)
-            new = self._posterior(x, self.share)
-            moved, post = np.abs(new - post).max(), new
-            if moved < 1e-6:
-                break
+        for together in (False, True):
+            for _ in range(rounds):
+                one, zero = c * post, c * (1 - post)
+                self.prior = np.clip(one.sum() / max(c.sum(), 1), 1e-4, 0.5)
+                self.p1 = np.clip((one @ x + 1) / (one.sum() + 2), 1e-4, 1 - 1e-4)
+                self.p0 = np.clip((zero @ x + 0.01) / (zero.sum() + 2), 1e-5, 1 - 1e-4)
+                self.p0 = np.minimum(self.p0, self.p1)  # a vote never speaks for clean
+                if together:
+                    self.share = self._shares(x, c, post)
+                new = self._posterior(x, self.share)
+                moved, post = np.abs(new - post).max(), new
+                if moved < 1e-6:
+                    break
         return self
 
     def _shares(self, x: np.ndarray, c: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """How many votes' evidence each voter shares: one and its correlations with the others, in the class where they are larger."""
-        share = np.ones(x.shape[1])
-        for weight, p in ((c * post, self.p1), (c * (1 - post), self.p0)):
-            if weight.sum() > 1:
-                d = x - p
-                cov = (d * weight[:, None]).T @ d / weight.sum()
-                scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                rho = np.clip(cov / scale[:, None] / scale[None, :], 0, 1) - np.eye(x.shape[1])
-                share = np.maximum(share, 1 + np.clip((rho - APART) / (1 - APART), 0, 1).sum(1))
-        return share
+        """How many votes' evidence each voter shares: one and its correlations with the others among toxic documents. (Votes that meet in clean ones are what tells that they are none.)"""
+        weight = c * post
+        if weight.sum() <= 1:
+            return np.ones(x.shape[1])
+        d = x - weight @ x / weight.sum()
+        cov = (d * weight[:, None]).T @ d / weight.sum()
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-4))
+        rho = np.clip(cov / scale[:, None] / scale[None, :], 0, 1) - np.eye(x.shape[1])
+        return 1 + np.clip((rho - APART) / (1 - APART), 0, 1).sum(1)
 
     def _posterior(self, x: np.ndarray, share: np.ndarray) -> np.ndarray:
         on, off = np.log(self.p1 / self.p0) / share, np.log((1 - self.p1) / (1 - self.p0)) / share
@@ -285,12 +285,12 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast((model.voters.stems, model.voters.plain, model.weights, model.intercept))
     held: dict = {}
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         if not held:
             stems, plain, weights, intercept = sent.value
             held["model"] = Model(Voters(stems, plain), weights, intercept)
-        return text.map(held["model"].score)
+        return pa.array([held["model"].score(t) for t in text.to_pylist()], pa.float64())
 
     return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
