@@ -21,7 +21,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,15 +185,15 @@ def _balls(fps, queries, data, forest):
         data = data[d > RADIUS]
 
 
-def _solve(key, group: pd.DataFrame) -> pd.DataFrame:
-    shift, bits = BLOCKS[int(key[0]) >> 40]
-    fps = group["fp"].to_numpy().view(np.uint64)
+def _solve(key, group):
+    shift, bits = BLOCKS[key[0].as_py() >> 40]
+    fps = group.column("fp").to_numpy().view(np.uint64)
     values = (fps >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
     forest = Forest(len(fps))
-    _links(fps, values, np.arange(len(fps)), np.flatnonzero(group["home"].to_numpy()), forest, np.random.default_rng(SEED))
+    _links(fps, values, np.arange(len(fps)), np.flatnonzero(group.column("home").to_numpy()), forest, np.random.default_rng(SEED))
     root = forest.root(np.arange(len(fps)))
     at = np.flatnonzero(root != np.arange(len(fps)))
-    return pd.DataFrame({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)})
+    return pa.table({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)})
 
 
 def hamming_forest(fps: DataFrame) -> DataFrame:
@@ -205,7 +204,7 @@ def hamming_forest(fps: DataFrame) -> DataFrame:
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)
     rng = np.random.default_rng(SEED)
     trees = [upper_tree((sample >> np.uint64(shift)) & np.uint64((1 << bits) - 1), depth, rng) for shift, bits in BLOCKS]
-    return fps.mapInArrow(_dealer(trees), "shard long, fp long, home boolean").groupBy("shard").applyInPandas(_solve, "a long, b long")
+    return fps.mapInArrow(_dealer(trees), "shard long, fp long, home boolean").groupBy("shard").applyInArrow(_solve, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
