@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import chunking, contamination, dedup, gates, joins, retrieval, sampling, scoring, voting
-from ..sources import io, scorers
+from ..operators import contamination, dedup, gates, joins, retrieval, sampling, scoring, voting
+from ..sources import scorers
 from ..streaming import appends
 from .derived import MCQ, ROLL, SAID, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
 
@@ -638,6 +637,3 @@ def e01_pricing_summary(s, d):
 def e02_revenue_by_nation(s, d):
     j = read(s, d, "lineitem").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-
-
-del DataFrame, SparkSession, io

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis, contamination, dedup, scoring, voting
-from .catalog import _BM25, _EDGES, _ITERMS, _RUNS, _VOTE, _W, _docs, _items, _terms, p10_parse_answer, p12_recover_answer, p23_token_f1, query, r01_bm25_top20
+from .catalog import _BM25, _EDGES, _ITERMS, _RUNS, _VOTE, _W, _docs, _items, p10_parse_answer, p12_recover_answer, p23_token_f1, query, r01_bm25_top20
 from .catalog import ORACLES as _SQL
 from .derived import MCQ, ROLL, SAID, completions, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
 

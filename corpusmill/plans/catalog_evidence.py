@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis, contamination, joins, retrieval, scoring, voting
-from .catalog import _EDGES, _RUNS, _VOTE, _W, _docs, _items, _terms, _tagged, query, r01_bm25_top20
-from .catalog import ORACLES as _SQL
+from .catalog import _EDGES, _RUNS, _VOTE, _W, _docs, _items, _terms, query, r01_bm25_top20
 from .catalog_analysis import _A3, _three
-from .catalog_gates import _LOW, _WS
+from .catalog_gates import _LOW
 from .derived import ITEMS, MCQ, ROLL, items, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
 
 
@@ -349,6 +348,3 @@ def a22_resummed_shards(s, d):
     """Shard summaries hold n and a rate; n * rate is a whole number again."""
     shards = run(s, d, "base").groupBy("subject", "answer").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("acc"))
     return shards.groupBy("subject").agg(F.sum("n").alias("n"), F.sum(F.bround(F.col("n") * F.col("acc")).cast("long")).alias("correct"))
-
-
-del _SQL, _WS, _tagged

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import chunking, gates, item_gates, sampling
 from ..operators import item_gates as G
 from .catalog import _RUNS, _docs, _items, query
-from .derived import ITEMS, MCQ, ROLL, chunks, items, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
+from .derived import ITEMS, MCQ, ROLL, chunks, items, mcq, rollouts, run, sql_byte, sql_h, sql_run
 
 
 def _sq(pattern: str) -> str:
@@ -288,6 +288,3 @@ def g21_fact_gate(s, d):
 @query(f"WITH {_RUNS} SELECT sample_id FROM base WHERE subject IN ('ECONOMY', 'STANDARD') AND NOT parse_failed ORDER BY sample_id LIMIT 50")
 def g01_simple_filter(s, d):
     return run(s, d, "base").where(F.col("subject").isin("ECONOMY", "STANDARD") & ~F.col("parse_failed")).orderBy("sample_id").limit(50).select("sample_id")
-
-
-del read

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions import text as T
 from ..operators import chunking, dedup, gates, joins, sampling, views
 from ..sources import io, scorers, scratch
-from .catalog import _W, _docs, _items, _tagged, _US, query, r01_bm25_top20
-from .catalog import _BM25
+from .catalog import _W, _docs, _items, _US, query
 from .catalog_gates import _LOW, _WS, _sq
-from .derived import ITEMS, MCQ, ROLL, SAID, completions, items, mcq, read, rollouts, run, sql_byte, sql_h, sql_run
+from .derived import ITEMS, MCQ, ROLL, SAID, completions, items, mcq, read, rollouts, sql_byte, sql_run
 
 
 # Normalisers, each on texts that are made to show its own way.
@@ -53,7 +50,6 @@ def p06_norm_nfkc(s, d):
 
 
 # Parsers.
-_KIT = {0: "@", 1: "@", 2: "@", 7: "@", 8: "@", 9: "", 10: "@", 11: "@", 16: "", 17: "@", 18: "@"}
 _KITX = {0: "@", 1: "@", 2: "@", 7: "@", 8: "@", 9: "@", 10: "@", 11: "@", 16: "E", 17: "@", 18: "@"}
 
 
@@ -62,7 +58,7 @@ def _cases(found: dict[int, str], other: str) -> str:
 
 
 @query(f"""WITH {SAID}, w AS (SELECT comp.*, {sql_byte("'c|' || sample_id")} % 22 AS way FROM comp),
-x AS (SELECT sample_id, predicted, CASE WHEN way IN (0, 1, 2, 7, 8, 9, 10, 11, 17, 18) THEN CASE way WHEN 9 THEN predicted ELSE predicted END ELSE -1 END AS kit, replace({_cases(_KITX, "?")}, '@', chr(65 + predicted)) AS judged FROM w)
+x AS (SELECT sample_id, predicted, CASE WHEN way IN (0, 1, 2, 7, 8, 9, 10, 11, 17, 18) THEN predicted ELSE -1 END AS kit, replace({_cases(_KITX, "?")}, '@', chr(65 + predicted)) AS judged FROM w)
 SELECT sample_id, kit, judged FROM x""")
 def p11_kit_parser(s, d):
     c = completions(s, d)
@@ -460,6 +456,3 @@ def s23_answer_key(s, d):
     q = mcq(s, d).select("sample_id")
     splits = q.limit(20).withColumn("split", F.lit("dev")).unionByName(q.where("sample_id < 'q-000100'").withColumn("split", F.lit("part"))).unionByName(q.withColumn("split", F.lit("all")))
     return io.answer_key(q, splits)
-
-
-del json, _BM25, _tagged, r01_bm25_top20, sql_h, ROLL, run
