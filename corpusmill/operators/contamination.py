@@ -118,18 +118,6 @@ def windows(docs: DataFrame, size: int = 40, stride: int = 20) -> DataFrame:
     return w.select("doc_id", F.col("x.start").alias("start"), (F.col("doc_id") * 1000000 + F.col("x.start")).alias("win_id"), F.array_join("x.words", " ").alias("text"))
 
 
-def window_coverage(docs: DataFrame, items: DataFrame, size: int = 40, stride: int = 20, stop: list[str] = T.CONTAINMENT_STOP) -> DataFrame:
-    """best_coverage over word windows (win_id as in windows). Each word is looked at once: a term that an item has then goes to the windows around its place."""
-    w = docs.select("doc_id", T.plain_words(F.col("text")).alias("w"))
-    placed = w.select("doc_id", F.size("w").alias("words"), F.posexplode("w").alias("at", "word"))
-    terms = placed.select("doc_id", "words", "at", F.explode(T.content_terms(F.col("word"), stop)).alias("term")).join(small(items), "term")
-    starts = F.sequence(F.floor(F.col("at") / stride) * stride, F.lit(0), F.lit(-stride))
-    holds = lambda s: (s + size > F.col("at")) & ((s == 0) | (F.least(F.lit(size), F.col("words") - s) * 3 >= size))
-    placed = terms.select("item_id", "doc_id", "term", F.explode(F.filter(F.slice(starts, 1, -(-size // stride)), holds)).alias("start"))
-    shared = placed.groupBy("item_id", (F.col("doc_id") * 1000000 + F.col("start")).alias("win_id")).agg(F.countDistinct("term").alias("n"))
-    return _best(shared, items, "win_id")
-
-
 def coverage_buckets(coverage: DataFrame) -> DataFrame:
     c = F.col("coverage")
     return coverage.agg(F.count("*").alias("items"), F.count_if(c == 1).alias("full"), F.count_if(c >= 0.8).alias("ge80"), F.count_if(c >= 0.5).alias("ge50"), F.count_if(c < 0.2).alias("lt20"), F.round(F.avg("coverage"), 6).alias("mean"))

@@ -157,7 +157,7 @@ def c10_doc_containment(s, d):
 
 @query(f"WITH {_CTERMS}, {_WIN}, {_coverage_sql('win', 'win_id', 'ct', _contained)} SELECT * FROM cov")
 def c11_window_containment(s, d):
-    return contamination.window_coverage(_docs(s, d), contamination.item_terms(_items(s, d), _containment))
+    return contamination.best_coverage(contamination.windows(_docs(s, d)), "win_id", contamination.item_terms(_items(s, d), _containment), _containment)
 
 
 @query(f"""WITH {_RARE}, ut AS (SELECT doc_id, unnest({_coverage('text')}) AS term FROM documents), n AS (SELECT item_id, count(*) AS n FROM rare GROUP BY 1),
