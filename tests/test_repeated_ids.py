@@ -44,3 +44,24 @@ def test_paired_groups(spark):
         assert (r["n"], r["right_a"], r["right_b"]) == (len(own), sum(x for x, _ in own), sum(y for _, y in own))
         assert (r["only_a"], r["only_b"]) == (own.count((True, False)), own.count((False, True)))
     assert len(got) == 2
+
+
+@pytest.fixture
+def repeated(spark, tmp_path):
+    """Parts whose keys have seven digits, so that ten of them share a sample_id."""
+    rows = spark.range(1_000_000, 1_000_030).selectExpr("id AS p_partkey", "concat('part ', id % 7) AS p_name", "concat('Brand#', id % 3) AS p_brand", "concat('TYPE ', id % 2) AS p_type", "CAST(id % 50 AS INT) AS p_size")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def by_sql(folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    return sorted(con.execute(catalog.ORACLES[name]).fetchall())
+
+
+def test_baselines(spark, repeated):
+    r = catalog.m04_baselines(spark, repeated).first()
+    assert [(r["total"], r["always_a"], r["heuristic"])] == by_sql(repeated, "m04_baselines") and r["total"] == 30
