@@ -167,8 +167,8 @@ def g22_item_parse(s, d):
 
 @query(f"WITH {SAID} SELECT sample_id, round(CAST(lenient = chr(65 + answer) AS INT)::DOUBLE + 0.05::DOUBLE * CAST(lenient <> '' AS INT), 2) AS reward FROM comp")
 def m10_reward(s, d):
-    c = completions(s, d).select("sample_id", "answer").join(p10_parse_answer(s, d), "sample_id")
-    return c.select("sample_id", analysis.reward(F.col("lenient"), T.letter(F.col("answer"))).alias("reward"))
+    lenient = T.parse_letter(F.col("completion"), F.size("choices"))
+    return completions(s, d).select("sample_id", analysis.reward(lenient, T.letter(F.col("answer"))).alias("reward"))
 
 
 @query(f"WITH {SAID}, c AS (SELECT length(completion) AS n, CASE WHEN lenient = '' THEN 'unparsed' WHEN lenient = chr(65 + answer) THEN 'right' ELSE 'wrong' END AS outcome FROM comp) SELECT outcome, count(*) AS total, round(avg(n), 6) AS mean_length FROM c GROUP BY 1")

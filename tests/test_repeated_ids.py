@@ -72,3 +72,8 @@ def test_deranged(spark, repeated):
     assert sorted(map(tuple, got.select("sample_id", "other").collect())) == by_sql(repeated, "j18_derangement") and got.count() == 30
     one = spark.createDataFrame([("g", "a"), ("h", "b"), ("h", "b")], "g string, id string")
     assert [tuple(r) for r in analysis.deranged(one, "g", "id", "s").collect()] == [("b", "b")] * 2
+
+
+def test_reward(spark, repeated):
+    got = catalog_analysis.m10_reward(spark, repeated).select("sample_id", "reward").collect()
+    assert sorted(map(tuple, got)) == by_sql(repeated, "m10_reward") and len(got) == 30
