@@ -173,7 +173,7 @@ def m10_reward(s, d):
 
 @query(f"WITH {SAID}, c AS (SELECT length(completion) AS n, CASE WHEN lenient = '' THEN 'unparsed' WHEN lenient = chr(65 + answer) THEN 'right' ELSE 'wrong' END AS outcome FROM comp) SELECT outcome, count(*) AS total, round(avg(n), 6) AS mean_length FROM c GROUP BY 1")
 def a26_length_by_outcome(s, d):
-    c = completions(s, d).select("sample_id", "answer", F.length("completion").alias("n")).join(p10_parse_answer(s, d), "sample_id")
+    c = completions(s, d).select("answer", F.length("completion").alias("n"), T.parse_letter(F.col("completion"), F.size("choices")).alias("lenient"))
     kind = F.when(F.col("lenient") == "", "unparsed").when(F.col("lenient") == T.letter(F.col("answer")), "right").otherwise("wrong")
     return c.groupBy(kind.alias("outcome")).agg(F.count("*").alias("total"), F.round(F.avg("n"), 6).alias("mean_length"))
 

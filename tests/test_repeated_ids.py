@@ -77,3 +77,8 @@ def test_deranged(spark, repeated):
 def test_reward(spark, repeated):
     got = catalog_analysis.m10_reward(spark, repeated).select("sample_id", "reward").collect()
     assert sorted(map(tuple, got)) == by_sql(repeated, "m10_reward") and len(got) == 30
+
+
+def test_length_by_outcome(spark, repeated):
+    got = catalog_analysis.a26_length_by_outcome(spark, repeated).select("outcome", "total", "mean_length").collect()
+    assert sorted(map(tuple, got)) == by_sql(repeated, "a26_length_by_outcome") and sum(r["total"] for r in got) == 30
