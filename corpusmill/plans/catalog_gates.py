@@ -104,7 +104,7 @@ def g08_hard_negatives(s, d):
     reverse = F.array_join(F.reverse(F.split("gold", " ")), " ")
     long = F.lit("long " * 30)
     q = q.withColumn("proposals", F.concat(F.array(F.lit(" "), F.upper("gold"), reverse), "choices", F.array(F.col("choices")[0], long, long)))
-    out = G.hard_negatives(q.select("sample_id", "gold", "proposals"))
+    out = G.hard_negatives(q.select("sample_id", "gold", "proposals"), on="sample_id")
     return out.select("sample_id", F.array_join(F.transform("judged", lambda x: F.coalesce(x["reason"], F.lit("ok"))), ",").alias("reasons"), F.array_join("kept", "|").alias("kept"))
 
 

@@ -87,3 +87,11 @@ def test_length_by_outcome(spark, repeated):
 def test_cleaned_keeps_digits(spark):
     rows = spark.createDataFrame([("i", "Which?", [" 0 of 00", "1 or 11", "2 in 22 "], 0)], "item_id string, question string, choices array<string>, gold int")
     assert sorted(item_gates.cleaned(rows, "turn").first()["choices"]) == ["0 of 00", "1 or 11", "2 in 22"]
+
+
+def test_hard_negatives_of_repeated_ids(spark):
+    rows = [("a", "the red fox", ["", "one cat", "two dogs"]), ("a", "a blue whale", ["one cat", "THE RED FOX", "ONE CAT"]), ("b", "red house", ["green sea"])]
+    got = item_gates.hard_negatives(spark.createDataFrame(rows, "id string, gold string, proposals array<string>").repartition(3), on="id")
+    got = {r["id"]: ([j["reason"] or "ok" for j in r["judged"]], r["kept"]) for r in got.collect()}
+    assert got["a"] == (["ok", "empty", "ok", "duplicate", "duplicate", "ok"], ["one cat", "THE RED FOX", "two dogs"])
+    assert got["b"] == (["ok"], ["green sea"])
