@@ -119,3 +119,19 @@ def test_text_majority_of_repeated_ids(spark):
         assert sorted(map(tuple, got)) == [("a", "v", 4, 7), ("b", "x", 3, 4), ("c", "w", 1, 1), ("d", "w", 1, 1)]
     one = spark.createDataFrame([(f"q{i}", said, "A", list("vwxy")) for i in range(100) for said in (2, 1, 3)], "sample_id string, predicted int, letter string, choices array<string>")
     assert {r["winner"] for r in voting.text_majority([one.repartition(7)]).collect()} == {"w"}
+
+
+def test_label_tiers(spark, repeated):
+    """Tied votes of an id are settled by the smallest choice, so tiers don't depend on partitions."""
+    got = {r["tier"]: r["n"] for r in catalog_analysis.o11_label_tiers(spark, repeated).collect()}
+    count = {}
+    for r in catalog.rollouts(spark, repeated).collect():
+        at = count.setdefault(r["sample_id"], {}).setdefault(r["predicted"], [0, 9])
+        at[0], at[1] = at[0] + 1, min(at[1], r["k"])
+    want = {}
+    for r in catalog.run(spark, repeated, "base").collect():
+        ranked = sorted((-n, first, c) for c, (n, first) in count[r["sample_id"]].items())
+        margin = (-ranked[0][0] + (ranked[1][0] if len(ranked) > 1 else 0)) / -sum(n for n, _, _ in ranked)
+        tier = "keep" if ranked[0][2] == r["predicted"] else "retain" if abs(margin) >= 0.5 else "flip"
+        want[tier] = want.get(tier, 0) + 1
+    assert got == want
