@@ -37,6 +37,8 @@ MAX_REPEATS = 3
 BLOCK_WORDS, BLOCK_DOCS, BLOCKS = 32768, 256, 1 << 27
 #: Words of an output shard, shards at most, sources that have counts of their own in the tree, blocks of a range.
 SHARD_WORDS, SHARDS, GROUPS, RANGE = 5_000_000, 16384, 256, 1024
+#: Shards of op3 at least, so that the tree draws for small tables, too.
+LEAST_SHARDS = 8
 #: Rows of a side that is broadcast; above, both sides are shuffled.
 BROADCAST_ROWS = 250_000
 SEED = 17
@@ -153,10 +155,20 @@ def _marked(mix: Mix, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return _join(rows, picks, mix.counts["picks"], same, "left").withColumn("picked", F.col("_place").isNotNull()).drop("_place", "_doc", "_hash")
 
 
-def taken(mix: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words) of every document."""
-    rows = _marked(mix, mix.sized, mix.blocks)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("picked").cast("int"))).alias("taken"))
+def _shards(mix: Mix) -> int:
+    words = mix.sources.agg(F.sum("target")).first()[0] or 0
+    return max(1, min(SHARDS, -(-int(words) // SHARD_WORDS)))
+
+
+def _every() -> Column:
+    """The shards of a marked row, one for each time it is taken."""
+    return F.when(F.col("picked"), F.array_append("shards", F.col("edge"))).otherwise(F.col("shards"))
+
+
+def taken(mix: Mix, shards: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words: its size for each time the tree's draws deal it to a shard) of every document."""
+    rows = _marked(mix, mix.sized, dealt(mix, shards or _shards(mix)))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size(_every())).alias("taken"))
 
 
 def _to_shards(ends: np.ndarray):
@@ -194,14 +206,13 @@ def dealt(mix: Mix, shards: int) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int | None = None, shard_column: str | None = None) -> DataFrame:
     """The mix's rows: the columns of docs, a row for each time it is taken; by shard (in shard_column, if named) and in the shard's order."""
     mix = plan(docs, weights)
-    words = mix.sources.agg(F.sum("target")).first()[0] or 0
-    n = shards or max(1, min(SHARDS, -(-int(words) // SHARD_WORDS)))
+    n = shards or _shards(mix)
     rows = _marked(mix, _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), dealt(mix, n))
-    every = F.when(F.col("picked"), F.array_append("shards", F.col("edge"))).otherwise(F.col("shards"))
-    out = rows.select("doc_id", "hash", "row", F.posexplode(every).alias("copy", "shard"))
+    out = rows.select("doc_id", "hash", "row", F.posexplode(_every()).alias("copy", "shard"))
     out = out.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED + 2), "doc_id", "hash", "copy"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], *([F.col("shard").alias(shard_column)] if shard_column else []))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(plan(table(spark, sf_dir, "documents")))
+    mix = plan(table(spark, sf_dir, "documents"))
+    return taken(mix, max(LEAST_SHARDS, _shards(mix)))

@@ -110,3 +110,16 @@ def test_mix_of_many_sources(spark, monkeypatch):
     total = got.agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.sum(F.col("target") * F.col("size") / F.col("source_size")).alias("target")).first()
     assert total["target"] == pytest.approx(total["size"]) and 0.4 < total["taken"] / total["size"] <= 1
     assert mixing.mixed(docs, shards=5).count() == got.agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
+
+
+def test_op3_takes_what_the_tree_deals(spark, monkeypatch, tmp_path):
+    """The query draws the tree and counts the shards that it deals a document to; a table without rows gives none."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 50), "en", f"s{i % 4}", 0) for i in range(2000)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    drawn, tree = [], mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda counts, shards, *a: drawn.append((counts.sum(), shards)) or tree(counts, shards, *a))
+    got = mixing.op3_source_mix(spark, str(tmp_path)).collect()
+    near_targets(docs, got, lambda r: f"s{r['doc_id'] % 4}")
+    assert len(got) == 2000 and [n for _, n in drawn] == [mixing.LEAST_SHARDS] and drawn[0][0] > 0
+    assert mixing.op3_source_mix(spark, f"{tmp_path}/none").count() == 0
