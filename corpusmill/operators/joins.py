@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from . import ranges
+from .contamination import small
 from .gates import guard
 
 
@@ -87,12 +88,12 @@ def containing(docs: DataFrame, strings: DataFrame, k: int = 4) -> DataFrame:
 
 
 def located(windows: DataFrame, docs: DataFrame, k: int = 12) -> DataFrame:
-    """win_id, found: a window's first k words, or those around its middle, stand in a document; shorter windows aren't looked for. Equi-joins of runs of k words."""
+    """win_id, found: a window's first k words, or those around its middle, stand in a document; shorter windows aren't looked for. Runs of k words meet the windows' keys before anything is shuffled, unless there are too many keys for a broadcast."""
     w = windows.select("win_id", T.words(T.norm_ws_lower(F.col("text"))).alias("w")).where(F.size("w") >= k)
     middle = F.greatest(F.lit(0), F.floor(F.size("w") / 2) - k // 2)
     keys = w.select("win_id", F.explode(F.array(F.array_join(F.slice("w", 1, k), " "), F.array_join(F.slice("w", (middle + 1).cast("int"), F.lit(k)), " "))).alias("key"))
-    runs = docs.select(T.words(T.norm_ws_lower(F.col("text"))).alias("w")).select(F.explode(F.array_distinct(T.shingles("w", k))).alias("key"))
-    hits = keys.join(runs, "key", "left_semi").select("win_id").distinct().withColumn("found", F.lit(True))
+    runs = docs.select(T.words(T.norm_ws_lower(F.col("text"))).alias("w")).select(F.explode(T.shingles("w", k)).alias("key"))
+    hits = runs.join(small(keys), "key").select("win_id").distinct().withColumn("found", F.lit(True))
     return w.select("win_id").join(hits, "win_id", "left").select("win_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 

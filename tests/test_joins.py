@@ -53,3 +53,13 @@ def test_stream_goes_to_a_table(spark, tmp_path):
     spark.createDataFrame([(i % 4,) for i in range(9)], "id long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     assert appends.run_to_end(stream, "t").count() == 9
+
+
+def test_located_shuffles_no_runs(spark):
+    """The corpus is met by a broadcast of the windows' keys; its runs reach no exchange."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    windows = docs.where("doc_id < 5").select(F.col("doc_id").alias("win_id"), "text").union(spark.createDataFrame([(9, "x " * 20), (10, "short")], "win_id long, text string"))
+    got = joins.located(windows, docs)
+    assert {r["win_id"]: r["found"] for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: True, 9: False}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "LeftSemi" not in plan
