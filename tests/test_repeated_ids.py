@@ -137,6 +137,23 @@ def test_label_tiers(spark, repeated):
     assert got == want
 
 
+def test_label_tiers_by_sql(spark, tmp_path):
+    """What the SQL fixes is the SQL's; of choices that its ORDER BY leaves tied the smallest wins, as in the SQL with that order closed."""
+    import duckdb
+
+    rows = spark.range(998_000, 1_002_000).selectExpr("id AS p_partkey", "concat('part ', id % 7) AS p_name", "concat('Brand#', id % 3) AS p_brand", "concat('TYPE ', id % 2) AS p_type", "CAST(id % 50 AS INT) AS p_size")
+    rows.repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["tier"]: r["n"] for r in catalog_analysis.o11_label_tiers(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    sql, order = catalog.ORACLES["o11_label_tiers"], "ORDER BY n DESC, first{})"
+    assert sql.count(order.format("")) == 1
+    of = lambda more: dict(con.execute(sql.replace(order.format(""), order.format(more))).fetchall())
+    assert got == of(", predicted") and got != of(", predicted DESC")
+    free = of("")
+    assert got["retain"] == free["retain"] and sum(got.values()) == sum(free.values()) == 4000
+
+
 def test_swapped_distractors_of_repeated_ids(spark):
     """One row an id, the same for all partitions and orders of rows."""
     rows = [("q", "s", ["w%d" % (4 * i + j) for j in range(4)], i % 4) for i in range(20)]
